@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import consensus, percentiles
+from tallyloom.llm import consensus, pairs, percentiles, truncation
 from tallyloom.plans.registry import Catalogue, table
 
 catalogue = Catalogue()
@@ -109,3 +109,33 @@ def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 @catalogue.add("p2_day_states", _STATES_SQL)
 def p2_day_states(spark: SparkSession, folder: str) -> DataFrame:
     return _day_states(spark, folder)
+
+
+@catalogue.add("p3_found")
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_messages(table(spark, folder, "predictions")).filter("is_cut").select("rec_id", "msg_pos")
+
+
+@catalogue.add("p3_by_model")
+def p3_by_model(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_rates(truncation.cut_messages(table(spark, folder, "predictions")), "model")
+
+
+@catalogue.add("p3_by_run")
+def p3_by_run(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_rates(truncation.cut_messages(table(spark, folder, "predictions")), "run_dir")
+
+
+@catalogue.add("p3_limits")
+def p3_limits(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.hidden_limits(truncation.inspected(table(spark, folder, "predictions")))
+
+
+@catalogue.add("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.main_defect(pairs.defects(table(spark, folder, "reviews")))
+
+
+@catalogue.add("p4_labels")
+def p4_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.defects(table(spark, folder, "reviews")).drop("cutoff", "pattern")
