@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import consensus, pairs, percentiles, truncation
+from tallyloom.llm import consensus, mixing, packing, pairs, percentiles, tokens, truncation
 from tallyloom.plans.registry import Catalogue, table
+from tallyloom.session import durable
 
 catalogue = Catalogue()
 
@@ -96,14 +97,19 @@ _STATES_SQL = """
 @catalogue.add(
     "p2_percentiles",
     f"""
-    WITH s AS (SELECT model, metric, value, sum(n) AS n FROM ({_STATES_SQL}) GROUP BY ALL),
-    r AS (SELECT *, sum(n) OVER (PARTITION BY model, metric ORDER BY value) AS running, sum(n) OVER (PARTITION BY model, metric) AS total FROM s)
-    SELECT model, metric, p, min(value) AS value, CAST(max(total) AS BIGINT) AS n, 0.005 AS max_rel_error
+    WITH d AS (SELECT CAST(day AS VARCHAR) AS days, model, metric, value, n FROM ({_STATES_SQL})),
+    s AS (SELECT days, model, metric, value, n FROM d UNION ALL SELECT 'all', model, metric, value, sum(n) FROM d GROUP BY ALL),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY days, model, metric ORDER BY value) AS running, sum(n) OVER (PARTITION BY days, model, metric) AS total FROM s)
+    SELECT days, model, metric, p, min(value) AS value, CAST(max(total) AS BIGINT) AS n, 0.005 AS max_rel_error
     FROM r, (SELECT unnest([1.0, 5.0, 10.0, 25.0, 50.0, 75.0, 90.0, 95.0, 99.0]) AS p) WHERE running >= greatest(1, ceil(p * total / 100.0)) GROUP BY ALL
     """,
 )
 def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    return percentiles.percentiles(percentiles.merge(_day_states(spark, folder), ["model"]), ["model"])
+    """Of each day, and of all days by merging the days' states."""
+    states = durable(_day_states(spark, folder), "states")
+    days = states.withColumn("days", F.col("day").cast("string")).drop("day")
+    every = percentiles.merge(states, ["model"]).withColumn("days", F.lit("all"))
+    return percentiles.percentiles(days.unionByName(every), ["days", "model"])
 
 
 @catalogue.add("p2_day_states", _STATES_SQL)
@@ -139,3 +145,31 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 @catalogue.add("p4_labels")
 def p4_labels(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.defects(table(spark, folder, "reviews")).drop("cutoff", "pattern")
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(tokens.sized(table(spark, folder, "documents")), table(spark, folder, "pack_sizes"))
+
+
+@catalogue.add("p6_assignments")
+def p6_assignments(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder)
+
+
+@catalogue.add("p6_fill")
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, folder))
+
+
+def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
+    return mixing.mix(tokens.sized(table(spark, folder, "documents"), "source"), table(spark, folder, "mix_targets"))
+
+
+@catalogue.add("p7_mixture")
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).rows
+
+
+@catalogue.add("p7_shares")
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).shares
