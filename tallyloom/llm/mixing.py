@@ -97,7 +97,7 @@ def mix(documents: DataFrame, targets: DataFrame, schedules: dict[str, Knots] |
     plan = schedules or _short_to_long({s: t / n for s, (t, n) in supply.items()}, share, strength)
     rows = [(s, d, d // supply[s][0], d % supply[s][0], listed[s][1], segments(plan[s])) for s, d in demand.items() if d > 0]
     kind = "source string, demand bigint, rounds bigint, rest bigint, max_repeats bigint, schedule array<struct<t0:double,t1:double,w0:double,slope:double,c0:double>>"
-    want = spark.createDataFrame(rows, kind)  # a row for each listed source
+    want = F.broadcast(spark.createDataFrame(rows, kind))  # a row for each listed source, at most max_targets; so are the other tables by source
     # each round has an order of its own; the row's number, stable as it counts written rows, keeps copies of one row apart
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     copies = numbered.join(want, "source").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("rounds") + 1, F.col("max_repeats") - 1))))
@@ -107,11 +107,11 @@ def mix(documents: DataFrame, targets: DataFrame, schedules: dict[str, Knots] |
     # What is left of a demand, less than the text after it, goes to the following texts that are no larger than it,
     # and at last to the largest that fits.
     gaps = summed.groupBy("source").agg((F.max("demand") - F.coalesce(F.max(F.when(F.col("_sum") <= F.col("demand"), F.col("_sum"))), F.lit(0))).alias("_gap"))
-    small = summed.filter(F.col("_sum") > F.col("demand")).join(gaps, "source").filter(F.col("n_tokens") <= F.col("_gap"))
+    small = summed.filter(F.col("_sum") > F.col("demand")).join(F.broadcast(gaps), "source").filter(F.col("n_tokens") <= F.col("_gap"))
     again = durable(running_sum(small, ["source"], ["_sum"], "n_tokens", "_more"), "mix-rest")
     more = again.filter(F.col("_more") <= F.col("_gap")).withColumn("_sum", F.col("demand") - F.col("_gap") + F.col("_more"))
     left = again.groupBy("source").agg((F.max("_gap") - F.coalesce(F.max(F.when(F.col("_more") <= F.col("_gap"), F.col("_more"))), F.lit(0))).alias("_left"))
-    fits = again.filter(F.col("_more") > F.col("_gap")).join(left, "source").filter(F.col("n_tokens") <= F.col("_left"))
+    fits = again.filter(F.col("_more") > F.col("_gap")).join(F.broadcast(left), "source").filter(F.col("n_tokens") <= F.col("_left"))
     last = fits.groupBy("source", "demand", "schedule").agg(F.max(F.struct("n_tokens", "_at", "doc_id", "copy")).alias("x"))
     last = last.select("source", "x.doc_id", "x.copy", "x.n_tokens", "x._at", F.col("demand").alias("_sum"), "demand", "schedule")
     middle = (F.col("_sum") - F.col("n_tokens") / 2.0) / F.col("demand")
@@ -119,7 +119,7 @@ def mix(documents: DataFrame, targets: DataFrame, schedules: dict[str, Knots] |
     mixture = placed.select("position", "source", "doc_id", "copy", "n_tokens")
     fixed = spark.createDataFrame([(s, w / weights, share.get(s, 0.0), supply.get(s, (0, 0))[0], m) for s, (w, m) in sorted(listed.items())], "source string, target_share double, planned_share double, supply_tokens bigint, max_repeats bigint")
     used = mixture.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_texts"), (F.max("copy") + 1).alias("most_copies"))
-    shares = fixed.join(used, "source", "left").na.fill(0, ["tokens", "n_texts", "most_copies"])
+    shares = fixed.join(F.broadcast(used), "source", "left").na.fill(0, ["tokens", "n_texts", "most_copies"])
     whole = shares.agg(F.sum("tokens").alias("_all"))  # one row
     shares = shares.crossJoin(F.broadcast(whole)).select(
         "source", "target_share", "planned_share", F.coalesce(F.try_divide("tokens", "_all"), F.lit(0.0)).alias("reached_share"), "tokens", "n_texts", "most_copies", "supply_tokens", "max_repeats"

@@ -62,7 +62,7 @@ def percentiles(state: DataFrame, groups: list[str], percents: tuple[float, ...]
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
     target = F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("_n") / 100.0)).cast("bigint")
     return (
-        left.join(right, same)
+        left.join(right, same, "left")  # each row has its total; a left join never broadcasts the counts
         .select(*[F.col(f"l.{c}") for c in by], "l.value", "l.n", "running", "_n")
         .withColumn("p", F.explode(F.array(*map(F.lit, percents))))
         .filter((F.col("running") - F.col("n") < target) & (target <= F.col("running")))

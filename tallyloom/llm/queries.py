@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import consensus, mixing, packing, pairs, percentiles, tokens, truncation
+from tallyloom.llm import consensus, mixing, packing, pairs, percentiles, pii, tokens, truncation
 from tallyloom.plans.registry import Catalogue, table
 from tallyloom.session import durable
 
@@ -173,3 +173,14 @@ def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
 @catalogue.add("p7_shares")
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).shares
+
+
+@catalogue.add("p8_found")
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.items(pii.spans(table(spark, folder, "documents")))
+
+
+@catalogue.add("p8_redacted")
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return pii.redacted(documents, durable(pii.spans(documents), "spans"))
