@@ -32,4 +32,5 @@ def running_sum(df: DataFrame, groups: list[str], order: list[str], value: str,
     same: Column = F.col("l._range") == F.col("r._range")
     for g in groups:
         same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
-    return left.join(right, same).select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._in") + F.col("r._offset")).alias(out))
+    # each row has its offset; a left join may broadcast the offsets where they are small, but never the rows
+    return left.join(right, same, "left").select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._in") + F.col("r._offset")).alias(out))

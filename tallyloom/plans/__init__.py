@@ -6,7 +6,7 @@ import importlib
 
 from tallyloom.plans.registry import Catalogue
 
-MODULES = ["nested"]
+MODULES = ["nested", "aggregates", "scores"]
 
 
 def catalogues() -> list[Catalogue]:
