@@ -6,7 +6,7 @@ import importlib
 
 from tallyloom.plans.registry import Catalogue
 
-MODULES = ["nested", "aggregates", "scores"]
+MODULES = ["nested", "aggregates", "scores", "relational"]
 
 
 def catalogues() -> list[Catalogue]:
