@@ -6,7 +6,7 @@ import importlib
 
 from tallyloom.plans.registry import Catalogue
 
-MODULES = ["nested", "aggregates", "scores", "relational"]
+MODULES = ["nested", "aggregates", "scores", "relational", "streams"]
 
 
 def catalogues() -> list[Catalogue]:
