@@ -106,7 +106,7 @@ def settle(seen: DataFrame, ids: list[str], keep: list[str]) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     ask = seen.filter(F.col("code") == endings.ITEM).select(*ids, *keep, F.substring_index("key", "\x01", 1).alias("head"), F.substring_index("key", "\x01", -1).alias("tail"))
     limited = at_limit(seen, ids)
-    strict = (zero("n_head") >= 50) | F.coalesce("at_limit", F.lit(False))
+    strict = (zero("n_head") >= 500) | F.coalesce("at_limit", F.lit(False))
     items = ask.join(tails, "tail", "left").join(heads, "head", "left").join(both, ["head", "tail"], "left").join(limited, ids, "left")
     items = items.select(*ids, *keep, ((zero("n_tail") == 0) | ((zero("n_both") == 0) & strict)).alias("is_cut"))
     dots = seen.filter(F.col("code") == endings.ELLIPSIS).select(*ids, *keep, "key")
