@@ -98,6 +98,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def round4(c: Column) -> Column:
+    """To 4 digits, after 9, so that averages half way between two values round alike whatever the order of summing."""
+    return F.round(F.round(c, 9), 4)
+
+
 def confusion(df: DataFrame, by: list[str], predicted: Column, actual: Column) -> DataFrame:
     """(*by, tp, fp, fn, tn, precision, recall, f1, accuracy, yes_ratio, mcc) of two boolean columns; 0 for empty ratios."""
     counts = df.groupBy(*by).agg(
@@ -165,8 +170,8 @@ def tree_levels(df: DataFrame, levels: list[str], score: str = "score", weight:
             at = at.withColumn("macro", F.col("micro"))
         child = at.select(*keys, "micro")
         row = at.select(
-            F.lit(levels[i - 1]).alias("level"), F.concat_ws("/", *keys).alias("key"), F.round("micro", 4).alias("micro"), F.round("macro", 4).alias("macro"),
-            F.round(F.when(F.col("w") == 0, F.col("micro")).otherwise(ratio(F.col("sw"), F.col("w"))), 4).alias("weighted"), "n",
+            F.lit(levels[i - 1]).alias("level"), F.concat_ws("/", *keys).alias("key"), round4(F.col("micro")).alias("micro"), round4(F.col("macro")).alias("macro"),
+            round4(F.when(F.col("w") == 0, F.col("micro")).otherwise(ratio(F.col("sw"), F.col("w")))).alias("weighted"), "n",
         )
         out = row if out is None else out.unionByName(row)
     return out

@@ -10,6 +10,8 @@ from tallyloom.plans.registry import Catalogue, table
 
 catalogue = Catalogue()
 
+_R4 = "round(CAST(round({}, 9) AS DECIMAL(18, 9)), 4)::DOUBLE"
+
 TIDY_SQL = """
     SELECT review_id, rec_id, task, lower(trim(model)) AS model, sample_index, sample_score.group_id AS group_id, sample_score.score.extracted_prediction AS prediction,
         unnest(map_keys(sample_score.score.value)) AS metric, unnest(map_values(sample_score.score.value)) AS value FROM reviews
@@ -241,15 +243,15 @@ def a28(spark: SparkSession, folder: str) -> DataFrame:
 
 @catalogue.add(
     "a29_collection_levels",
-    """
+    f"""
     WITH l AS (SELECT r_name, n_name, c_mktsegment, sum(c_acctbal) AS s, count(c_acctbal) AS n, sum(c_acctbal * (c_custkey % 3)) AS sw, sum(c_custkey % 3) AS w
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
     a AS (SELECT r_name, n_name, c_mktsegment, s / n AS micro, s / n AS macro, sw, w, n FROM l),
     b AS (SELECT r_name, n_name, sum(s) / sum(n) AS micro, (SELECT avg(micro) FROM a WHERE a.r_name = l.r_name AND a.n_name = l.n_name) AS macro, sum(sw) AS sw, sum(w) AS w, sum(n) AS n FROM l GROUP BY ALL),
     c AS (SELECT r_name, sum(s) / sum(n) AS micro, (SELECT avg(micro) FROM b WHERE b.r_name = l.r_name) AS macro, sum(sw) AS sw, sum(w) AS w, sum(n) AS n FROM l GROUP BY ALL)
-    SELECT 'c_mktsegment' AS level, r_name || '/' || n_name || '/' || c_mktsegment AS key, round(micro, 4) AS micro, round(macro, 4) AS macro, round(CASE WHEN w = 0 THEN micro ELSE sw / w END, 4) AS weighted, n FROM a
-    UNION ALL SELECT 'n_name', r_name || '/' || n_name, round(micro, 4), round(macro, 4), round(CASE WHEN w = 0 THEN micro ELSE sw / w END, 4), CAST(n AS BIGINT) FROM b
-    UNION ALL SELECT 'r_name', r_name, round(micro, 4), round(macro, 4), round(CASE WHEN w = 0 THEN micro ELSE sw / w END, 4), CAST(n AS BIGINT) FROM c
+    SELECT 'c_mktsegment' AS level, r_name || '/' || n_name || '/' || c_mktsegment AS key, {_R4.format('micro')} AS micro, {_R4.format('macro')} AS macro, {_R4.format('CASE WHEN w = 0 THEN micro ELSE sw / w END')} AS weighted, n FROM a
+    UNION ALL SELECT 'n_name', r_name || '/' || n_name, {_R4.format('micro')} AS micro, {_R4.format('macro')} AS macro, {_R4.format('CASE WHEN w = 0 THEN micro ELSE sw / w END')} AS weighted, CAST(n AS BIGINT) FROM b
+    UNION ALL SELECT 'r_name', r_name, {_R4.format('micro')} AS micro, {_R4.format('macro')} AS macro, {_R4.format('CASE WHEN w = 0 THEN micro ELSE sw / w END')} AS weighted, CAST(n AS BIGINT) FROM c
     """,
 )
 def a29(spark: SparkSession, folder: str) -> DataFrame:
@@ -291,14 +293,6 @@ def a32(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.avg("l_quantity"))
 
 
-def _round4(c: Column) -> Column:
-    """To 4 digits, after 9, so that averages half way between two values round alike whatever the order of summing."""
-    return F.round(F.round(c, 9), 4)
-
-
-_R4 = "round(CAST(round({}, 9) AS DECIMAL(18, 9)), 4)::DOUBLE"
-
-
 @catalogue.add(
     "a33_micro_macro",
     f"""WITH s AS (SELECT report_id, metric, category, {_R4.format("coalesce(sum(score * num) / nullif(sum(num) FILTER (score IS NOT NULL), 0), 0)")} AS micro, {_R4.format("coalesce(avg(score), 0)")} AS macro,
@@ -308,9 +302,9 @@ _R4 = "round(CAST(round({}, 9) AS DECIMAL(18, 9)), 4)::DOUBLE"
 def a33(spark: SparkSession, folder: str) -> DataFrame:
     known = F.sum(F.when(F.col("score").isNotNull(), F.col("num")))
     s = subsets(spark, folder).groupBy("report_id", "metric", "category").agg(
-        _round4(aggregate.ratio(F.sum(F.col("score") * F.col("num")), known)).alias("micro"), _round4(F.coalesce(F.avg("score"), F.lit(0.0))).alias("macro"), known.alias("num")
+        aggregate.round4(aggregate.ratio(F.sum(F.col("score") * F.col("num")), known)).alias("micro"), aggregate.round4(F.coalesce(F.avg("score"), F.lit(0.0))).alias("macro"), known.alias("num")
     )
-    return s.groupBy("report_id", "metric").agg(_round4(aggregate.ratio(F.sum(F.col("micro") * F.col("num")), F.sum("num"))).alias("micro"), _round4(F.avg("macro")).alias("macro"))
+    return s.groupBy("report_id", "metric").agg(aggregate.round4(aggregate.ratio(F.sum(F.col("micro") * F.col("num")), F.sum("num"))).alias("micro"), aggregate.round4(F.avg("macro")).alias("macro"))
 
 
 @catalogue.add(
