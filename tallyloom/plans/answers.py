@@ -152,3 +152,87 @@ def m24(spark: SparkSession, folder: str) -> DataFrame:
     g = table(spark, folder, "embeddings").groupBy(F.floor(F.col("vec_id") / 10).alias("sample")).agg(v.alias("v")).filter(F.size("v") > 1)
     far = lambda a, b: scoring.once(scoring.cosine(a, b), lambda c: F.when(c <= 0, 100.0).otherwise(1 / c))
     return g.select("sample", F.round(scoring.mean_pairwise(F.col("v"), far), 4).alias("distance"))
+
+
+@catalogue.add("a06_entity_scores")
+def a06(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.operators import spans
+
+    words = F.split("p_name", " ")
+    gold = F.transform(words, lambda w: F.when(w < "m", F.concat(F.lit("B-"), F.upper(F.substring(w, 1, 1)))).otherwise("O"))
+    guess = F.transform(words, lambda w: F.when(w < "p", F.concat(F.lit("B-"), F.upper(F.substring(w, 1, 1)))).otherwise("O"))
+    return spans.entity_scores(table(spark, folder, "part").select("p_brand", gold.alias("g"), guess.alias("p")), ["p_brand"], "g", "p")
+
+
+@catalogue.add("m37_chrf")
+def m37_chrf(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.operators import spans
+
+    return spans.corpus_chrf(_reviews(spark, folder).select("task", "p", "input"), ["task"], "p", "input")
+
+
+@catalogue.add("m28_originality")
+def m28(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.operators import clustering
+
+    e = table(spark, folder, "embeddings")
+    return clustering.idea_scores(e.filter("vec_id % 5 = 0").withColumn("sample", F.floor(F.col("vec_id") / 50)), e.filter("vec_id % 5 <> 0"), "sample")
+
+
+@catalogue.add(
+    "a36_all_right_with_error",
+    "WITH k AS (SELECT task, sample_index, CAST(bool_and(sample_score.score.value[sample_score.score.main_score_name] >= 0.5) AS DOUBLE) AS ok FROM reviews WHERE sample_score.score.value[sample_score.score.main_score_name] IS NOT NULL GROUP BY ALL) SELECT task, avg(ok) AS score, stddev_samp(ok) / sqrt(count(*)) AS stderr FROM k GROUP BY ALL",
+)
+def a36(spark: SparkSession, folder: str) -> DataFrame:
+    s = F.col("sample_score.score")
+    r = table(spark, folder, "reviews").select("task", "sample_index", F.try_element_at(s.getField("value"), s.getField("main_score_name")).alias("v")).filter("v is not null")
+    k = r.groupBy("task", "sample_index").agg(F.bool_and(F.col("v") >= 0.5).cast("double").alias("ok"))
+    return k.groupBy("task").agg(F.avg("ok").alias("score"), (F.stddev_samp("ok") / F.sqrt(F.count("*"))).alias("stderr"))
+
+
+@catalogue.add(
+    "a39_fractional_accuracy",
+    """WITH p AS (SELECT l_orderkey, list_distinct(list(l_returnflag)) AS preds FROM lineitem GROUP BY ALL)
+       SELECT o_orderkey, CASE WHEN list_contains(preds, CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'N' ELSE 'A' END) THEN 1.0 / len(preds) ELSE 0.0 END AS score FROM orders LEFT JOIN p ON o_orderkey = l_orderkey""",
+)
+def a39(spark: SparkSession, folder: str) -> DataFrame:
+    p = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("preds"))  # three flags at most
+    o = table(spark, folder, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "R").when(F.col("o_orderstatus") == "O", "N").otherwise("A").alias("a"))
+    return o.join(p, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.when(F.array_contains("preds", F.col("a")), 1.0 / F.size("preds")).otherwise(0.0).alias("score"))
+
+
+@catalogue.add(
+    "a53_average_precision",
+    """WITH r AS (SELECT event_type, user_id % 3 = 0 AS rel, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank FROM events),
+       s AS (SELECT *, sum(rel::INT) OVER (PARTITION BY event_type ORDER BY rank ROWS UNBOUNDED PRECEDING) AS seen FROM r)
+       SELECT event_type, sum(CASE WHEN rel THEN seen / rank ELSE 0 END) / nullif(sum(rel::INT), 0) AS ap FROM s GROUP BY ALL""",
+)
+def a53(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.operators.prefix import running_sum
+
+    e = table(spark, folder, "events").select("event_type", (-F.col("value")).alias("low"), "event_id", (F.col("user_id") % 3 == 0).cast("bigint").alias("rel"), F.lit(1).cast("bigint").alias("one"))
+    # classes are few and large, so ranks and hits run over ranges
+    ranked = running_sum(running_sum(e, ["event_type"], ["low", "event_id"], "one", "rank"), ["event_type"], ["low", "event_id"], "rel", "seen")
+    return ranked.groupBy("event_type").agg(F.try_divide(F.sum(F.when(F.col("rel") == 1, F.col("seen") / F.col("rank")).otherwise(0.0)), F.sum("rel")).alias("ap"))
+
+
+@catalogue.add("m57_process_check", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 5 = 0 THEN 'correct_acc' ELSE 'error_acc' END AS metric, CAST(l_linenumber % 4 = l_suppkey % 5 - 1 AS DOUBLE) AS score FROM lineitem")
+def m57(spark: SparkSession, folder: str) -> DataFrame:
+    reference = F.col("l_suppkey") % 5 - 1
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(reference == -1, "correct_acc").otherwise("error_acc").alias("metric"), (F.col("l_linenumber") % 4 == reference).cast("double").alias("score"))
+
+
+@catalogue.add("m72_story_score", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity / 50 * l_discount AS quc, greatest(0, 1 - l_tax * 10) AS satisfied FROM lineitem")
+def m72(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") / 50 * F.col("l_discount")).alias("quc"), F.greatest(F.lit(0.0), 1 - F.col("l_tax") * 10).alias("satisfied"))
+
+
+@catalogue.add("m75_pairwise", "SELECT review_id, CASE regexp_extract(p, '\\[\\[(A>>B|A>B|A=B|B>A|B>>A)\\]\\]', 1) WHEN 'A>>B' THEN 1.0 WHEN 'A>B' THEN 0.75 WHEN 'B>A' THEN 0.25 WHEN 'B>>A' THEN 0.0 ELSE 0.5 END AS score FROM (SELECT review_id, sample_score.score.prediction AS p FROM reviews)")
+def m75(spark: SparkSession, folder: str) -> DataFrame:
+    return _reviews(spark, folder).select("review_id", scoring.pairwise_score(F.col("p")).alias("score"))
+
+
+@catalogue.add("m79_pass_hat_k", "WITH g AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS c FROM orders GROUP BY ALL) SELECT o_custkey, CASE WHEN c < 2 THEN 0.0 ELSE c * (c - 1) / (n * (n - 1)) END AS score FROM g WHERE n >= 2")
+def m79(spark: SparkSession, folder: str) -> DataFrame:
+    g = table(spark, folder, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("c")).filter("n >= 2")
+    return g.select("o_custkey", scoring.pass_hat_k(F.col("n"), F.col("c"), F.lit(2)).alias("score"))

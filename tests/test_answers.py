@@ -47,3 +47,22 @@ def test_columns(spark):
     assert [tuple(r) for r in rows] == [("2", 0.0, 1.0), ("", 0.0, 0.0)]
     b = spark.createDataFrame([("k", "a b c d e", "a b c d e"), ("k", "a b c d", "a b c d x")], "k string, p string, r string")
     assert 0.5 < A.corpus_bleu(b, F.col("p"), F.col("r"), ["k"]).first()["bleu"] < 1
+
+
+def test_entity_and_character_scores(spark):
+    from tallyloom.operators import spans
+
+    df = spark.createDataFrame([("x", ["B-P", "I-P", "O"], ["B-P", "I-P", "B-L"]), ("x", ["B-P"], None), ("y", None, None)], "k string, g array<string>, p array<string>")
+    got = {(r["k"], r["type"]): (r["tp"], r["n_gold"], r["n_predicted"]) for r in spans.entity_scores(df, ["k"], "g", "p").collect()}
+    assert got == {("x", "P"): (1, 2, 1), ("x", "L"): (0, 0, 1), ("x", "all"): (1, 2, 2)}
+    t = spark.createDataFrame([("a", "same text", "same text"), ("b", "abc", "xyz"), ("c", None, "x")], "k string, p string, r string")
+    assert {r["k"]: round(r["chrf"], 6) for r in spans.corpus_chrf(t, ["k"], "p", "r").collect()} == {"a": 100.0, "b": 0.0, "c": 0.0}
+
+
+def test_ideas(spark):
+    from tallyloom.operators import clustering
+
+    pool = spark.createDataFrame([(i, [float(i % 2) * 10 + (i % 5) * 0.1, 0.0]) for i in range(80)], "vec_id int, embedding array<double>")
+    ideas = spark.createDataFrame([("s", [0.2, 0.0]), ("s", [10.2, 0.0]), ("s", [100.0, 0.0]), ("t", None)], "sample string, embedding array<double>")
+    got = clustering.idea_scores(ideas, pool, "sample").collect()
+    assert len(got) == 1 and got[0]["n"] == 3 and got[0]["originality"] > 10 and got[0]["flexibility"] == pytest.approx((2 + 3) / 3**0.5)
