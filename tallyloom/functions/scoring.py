@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
+from tallyloom.functions.text import once
 
 #: Metrics by name: (prediction, reference, **options) -> score as double.
 METRICS: dict[str, Callable[..., Column]] = {}
@@ -86,17 +87,12 @@ def relaxed_accuracy(prediction: Column, reference: Column, tolerance: float = 0
 
 
 def _bag_overlap(p: Column, r: Column) -> Column:
-    """How many tokens two lists share, with repetition."""
-    count = lambda a, w: F.size(F.filter(a, lambda x: x == w))
+    """How many tokens two lists share, with repetition; a token is counted by what removing it takes off, which runs
+    without a lambda over the tokens."""
+    count = lambda a, w: F.size(a) - F.size(F.array_remove(a, w))
     return F.aggregate(F.array_intersect(p, r), F.lit(0), lambda s, w: s + F.least(count(p, w), count(r, w)))
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once a row: a lambda's variable holds it, where the plain expression
-    would be evaluated anew for each of its uses, and inside another lambda for each element."""
-    return F.transform(F.array(value), use)[0]
-
-
 def bag_scores(p: Column, r: Column) -> Column:
     """struct<precision, recall, f1> of two token lists."""
 

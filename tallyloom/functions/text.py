@@ -138,6 +138,19 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+"), lambda w: w != "")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row: a lambda's variable holds it, where the plain expression
+    would be evaluated anew for each of its uses, and inside another lambda for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ngrams(tokens: Column, n: int) -> Column:
+    """All runs of n tokens, joined by blanks; empty where there are fewer."""
+    if n == 1:
+        return tokens
     none = F.array().cast("array<string>")
-    return F.when(F.size(tokens) < n, none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")))
+
+    def runs(t: Column) -> Column:
+        return F.when(F.size(t) < n, none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " ")))
+
+    return once(tokens, runs)
