@@ -11,6 +11,7 @@ COMPLETE, CUT, ITEM, ELLIPSIS, EMPTY = 0, 1, 2, 3, 4
 _MARK = re.compile(r"(?:(?:\.{2,}|…)?\s*(?:\[\s*(?:truncated|cut|snip|snipped|clipped|more|continued|\.{3}|…)[^\]\n]{0,20}\]|<\s*(?:snip|cut|truncated|more|clipped)\s*/?>|\(\s*(?:more|cont(?:inued|'d)?|truncated|cut|snip)\.?\s*\)))+\s*$", re.I)
 _PLACEHOLDER = re.compile(r"(?i)^(?:none|null|nil|nan|n/?a|undefined|empty|todo|tbd|no answer|no response|\[?(?:invalid|empty|blank)\]?|[-–—_.…*#?!\"'“”‘’`~|/\\\s]*)$")
 _BARE_LABEL = re.compile(r"(?i)^[\W_]*(?:final\s+)?(?:answer|response|output|result|solution|assistant|antwort|respuesta|réponse|答案|回答)[\W_]*$")
+_END = 200
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00A0, 0xAD], " ")
 _ENDS = ".!?。！？؟।"
 _CLOSERS = "\"'”’»›)]}*_`）】」』 \t"
@@ -97,9 +98,11 @@ def ending(text: str) -> tuple[int, str, list[str]]:
         return EMPTY, "", []
     if t[-1] == "�":
         return CUT, "", []
-    marked = _MARK.search(t)
+    # what is asked of the end only needs the end: searching all of a long text for it would cost the more for nothing
+    end = t[-_END:]
+    marked = _MARK.search(end) if end[-1] in "]>)" else None
     if marked:
-        t = t[: marked.start()].rstrip()
+        t = t[: len(t) - len(end) + marked.start()].rstrip()
         if not t:
             return EMPTY, "", []
     opened = _open_json(t)
@@ -111,15 +114,16 @@ def ending(text: str) -> tuple[int, str, list[str]]:
     for tag in {m.lower() for m in _TAG_OPEN.findall(t)}:
         if low.rfind(f"<{tag}>") > low.rfind(f"</{tag}>"):
             return CUT, "", []
-    if t.endswith("```") or re.search(r"</?\w+>$", t) or re.search(r"\\boxed\{[^{}]*\}\W*$", t):
+    end = t[-_END:]
+    if t.endswith("```") or end[-1] == ">" and re.search(r"</?\w+>$", end) or "\\boxed" in t and re.search(r"\\boxed\{[^{}]*\}\W*$", t):
         return COMPLETE, "", []
-    if re.search(r"<[a-z/]{0,12}$|\\boxed\{[^{}]*$|\\[a-z]*$", t):
+    if re.search(r"<[a-z/]{0,12}$|\\[a-z]*$", end) or "\\boxed" in t and re.search(r"\\boxed\{[^{}]*$", t):
         return CUT, "", []
     lines = t.split("\n")
     last = lines[-1]
     if len(lines) > 1 and _ONLY_BULLET.match(last):
         return CUT, "", []
-    if re.search(r"(?:\.{2,}|…)[\"'”’»)\]]*$", t):
+    if re.search(r"(?:\.{2,}|…)[\"'”’»)\]]*$", end):
         body = re.sub(r"(?:\.{2,}|…)[\"'”’»)\]]*$", "", t)
         return (CUT if marked or _CJK.search(body[-3:]) else ELLIPSIS), words(body[-80:], 2, True), []
     if _sentence_end(last):
