@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -22,6 +23,7 @@ _FIELD = re.compile(r"^\s*[*_]{0,2}[^\W\d][\w ]{0,30}[*_]{0,2}\s*[:：][*_]{0,2}
 _TAG_OPEN = re.compile(r"<(answer|result|final|output|response|think|thinking|reasoning)>", re.I)
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _PROSE = re.compile(r"(?:^|[ \n])[^\W\d_]{2,}[ ,][^\W\d_]+ [^\W\d_]{2,}|[㐀-鿿]{12}")
+_MUSING = re.compile(r"(?i)\bwho knows (?:what|who|where|when|why|how)\b[^.!?…\n]* next$")  # a whole sentence whatever the corpus has
 _decoder = json.JSONDecoder()
 
 
@@ -85,6 +87,12 @@ def _item_key(line: str) -> str:
     return f"{words(body, 2, False)}\x01{words(body, 2, True)}"
 
 
+def _ellipsis_key(body: str, text: str) -> str:
+    """The last words, or ``?`` after a musing that is whole, and the text's hash, as copies say nothing more."""
+    end = "?" if _MUSING.search(body[-_END:]) else words(body[-80:], 2, True)
+    return f"{end}\x01{hashlib.blake2b(text.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
+
+
 def _sentence_end(line: str) -> bool:
     bare = line.rstrip(_CLOSERS)
     return bool(bare) and bare[-1] in _ENDS and not bare.endswith("..")
@@ -125,7 +133,7 @@ def ending(text: str) -> tuple[int, str, list[str]]:
         return CUT, "", []
     if re.search(r"(?:\.{2,}|…)[\"'”’»)\]]*$", end):
         body = re.sub(r"(?:\.{2,}|…)[\"'”’»)\]]*$", "", t)
-        return (CUT if marked or _CJK.search(body[-3:]) else ELLIPSIS), words(body[-80:], 2, True), []
+        return (CUT, "", []) if marked or _CJK.search(body[-3:]) else (ELLIPSIS, _ellipsis_key(body, t), [])
     if _sentence_end(last):
         return COMPLETE, "", []
     items = [x for x in lines[:-1] if _LIST.match(x)]

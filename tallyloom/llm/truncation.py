@@ -95,8 +95,8 @@ def settle(seen: DataFrame, ids: list[str], keep: list[str]) -> DataFrame:
     """(*ids, *keep, is_cut): every ending decided, those of lists and ellipses by what the corpus has.
 
     An unpunctuated list item is whole if items inside lists end in the same words; where its kind (its first words)
-    is well known or its text stands at a hidden limit, an item of that kind must. An ellipsis is style if its words
-    make up at least a fiftieth of all that stand before ellipses. ``seen`` must be written already, as it is read
+    is well known or its text stands at a hidden limit, an item of that kind must. An ellipsis is style if at
+    least three different texts, and a twentieth of all different texts with an ellipsis, have its words before it. ``seen`` must be written already, as it is read
     several times.
     """
     ends = seen.select(F.explode("items").alias("k")).select(F.substring_index("k", "\x01", 1).alias("head"), F.substring_index("k", "\x01", -1).alias("tail"))
@@ -109,10 +109,11 @@ def settle(seen: DataFrame, ids: list[str], keep: list[str]) -> DataFrame:
     strict = (zero("n_head") >= 500) | F.coalesce("at_limit", F.lit(False))
     items = ask.join(tails, "tail", "left").join(heads, "head", "left").join(both, ["head", "tail"], "left").join(limited, ids, "left")
     items = items.select(*ids, *keep, ((zero("n_tail") == 0) | ((zero("n_both") == 0) & strict)).alias("is_cut"))
-    dots = seen.filter(F.col("code") == endings.ELLIPSIS).select(*ids, *keep, "key")
-    total = dots.agg(F.count("*").alias("_all"))  # one row
-    style = dots.groupBy("key").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).filter("n >= 2 and n >= 0.02 * _all").select("key", F.lit(True).alias("style"))
-    dotted = dots.join(style, "key", "left").select(*ids, *keep, F.coalesce(~F.col("style"), F.lit(True)).alias("is_cut"))
+    dots = seen.filter(F.col("code") == endings.ELLIPSIS).select(*ids, *keep, F.substring_index("key", "\x01", 1).alias("end"), F.substring_index("key", "\x01", -1).alias("text"))
+    texts = dots.select("end", "text").distinct()
+    total = texts.agg(F.count("*").alias("_all"))  # one row
+    style = texts.groupBy("end").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).filter("n >= 3 and n >= 0.05 * _all").select("end", F.lit(True).alias("style"))
+    dotted = dots.join(style, "end", "left").select(*ids, *keep, (~F.coalesce("style", F.col("end") == "?")).alias("is_cut"))
     sure = seen.filter(~F.col("code").isin(endings.ITEM, endings.ELLIPSIS)).select(*ids, *keep, (F.col("code") == endings.CUT).alias("is_cut"))
     return sure.unionByName(items).unionByName(dotted)
 
