@@ -1,7 +1,8 @@
 """Deeply nested records as flat tables that keep their parent and place.
 
-``infer_schema`` merges the schemas of JSON texts; ``relational`` turns any nested DataFrame into one table for the
-record and one for each array level below it. ``content_parts`` has the rule by which a message's text is a list.
+``infer_schema`` merges the schemas of JSON texts, ``part_schema`` those of content parts; ``relational`` turns any
+nested DataFrame into one table for the record and one for each array level below it. ``content_parts`` has the rule
+by which a message's text is a list.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from pyspark.sql import types as T
 
 #: Strict JSON: what the default reader forgives (single quotes, NaN) isn't well-formed.
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-_PARTS = "array<struct<type:string>>"
 
 
 def infer_schema(df: DataFrame, column: str) -> T.DataType:
     """One schema for every JSON text of a column, malformed and null texts aside; merged on the executors."""
-    merged = df.select(F.schema_of_variant_agg(F.try_parse_json(F.col(column))).alias("s")).first()["s"]
+    return _merged(df.select(F.schema_of_variant_agg(F.try_parse_json(F.col(column))).alias("s")).first()["s"])
+
+
+def _merged(merged: str | None) -> T.DataType:
     if merged is None or merged == "VOID":
         return T.NullType()
     return T._parse_datatype_string(merged.replace("OBJECT<", "STRUCT<"))
@@ -79,33 +82,81 @@ def relational(df: DataFrame, key: str, name: str = "root") -> dict[str, DataFra
     return tables
 
 
-def content_parts(content: Column | str) -> Column:
-    """A message's content parts as array<struct<type string>>, null elements kept in place.
+def _flat(kind: T.DataType) -> T.DataType:
+    """A type that a table can hold: what has no single type, or names that differ in case only, stays JSON text."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_flat(kind.elementType))
+    if isinstance(kind, T.StructType):
+        names = {f.name.lower() for f in kind}
+        return T.StructType([T.StructField(f.name, _flat(f.dataType)) for f in kind]) if names and len(names) == len(kind.fields) else T.StringType()
+    return T.StringType() if isinstance(kind, (T.NullType, T.VariantType)) else kind
+
+
+def _ddl(kind: T.DataType) -> str:
+    if isinstance(kind, T.ArrayType):
+        return f"array<{_ddl(kind.elementType)}>"
+    if isinstance(kind, T.StructType):
+        return "struct<" + ",".join(f"`{f.name.replace('`', '``')}`:{_ddl(f.dataType)}" for f in kind) + ">"
+    return kind.simpleString()
+
+
+#: The fields that parts have in any table.
+_LEAST = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])
+
+
+def _opened(c: Column) -> Column:
+    """The text as array<array<map<string,variant>>>: it is parsed inside one more pair of brackets, as the parser
+    would otherwise ignore what follows the list."""
+    return F.when(F.ltrim(c).startswith("["), F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<array<map<string,variant>>>", _STRICT))
+
+
+def _is_list(opened: Column) -> Column:
+    fits = (F.size(opened) == 1) & opened[0].isNotNull() & F.forall(opened[0], lambda e: e.isNull() | F.map_contains_key(e, "type"))
+    return F.coalesce(fits, F.lit(False))
+
+
+def part_schema(contents: DataFrame, column: str) -> T.StructType:
+    """One schema for the parts of all contents that are lists, by name; merged on the executors, a row a field."""
+    opened = contents.select(_opened(F.col(column)).alias("o")).filter("o is not null").filter(_is_list(F.col("o")))
+    fields = opened.select(F.explode(F.col("o")[0]).alias("e")).select(F.explode("e").alias("name", "value"))
+    found = {r["name"]: _flat(_merged(r["s"])) for r in fields.groupBy("name").agg(F.schema_of_variant_agg("value").alias("s")).collect()}
+    return T.StructType([*_LEAST, *[T.StructField(n, k) for n, k in sorted(found.items()) if n not in _LEAST.names]])
+
+
+def content_parts(content: Column | str, kind: T.StructType = _LEAST) -> Column:
+    """A message's content parts as an array of structs of ``kind``, null elements kept in place.
 
     Well-formed JSON of a list whose elements are all null or objects with a ``type`` is that list. Null and ''
-    have no part. Any other content is one part without a type. The text is parsed inside one more pair of
-    brackets, as the parser would otherwise ignore what follows the list.
+    have no part. Any other content is one part without a type, and its ``text``. Fields whose names differ in case
+    only are told apart by a trailing ``_``.
     """
     c = F.col(content) if isinstance(content, str) else content
-    parsed = F.when(F.ltrim(c).startswith("["), F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<array<struct<type:variant>>>", _STRICT))
-    one = F.array(F.struct(F.lit(None).cast("string").alias("type")))
-
-    def decide(whole: Column) -> Column:
-        is_list = (F.size(whole) == 1) & whole[0].isNotNull() & F.forall(whole[0], lambda e: e.isNull() | e["type"].isNotNull())
-        typed = F.transform(whole[0], lambda e: F.when(e.isNotNull(), F.struct(F.try_variant_get(e["type"], "$", "string").alias("type"))))
-        return F.when(F.coalesce(is_list, F.lit(False)), typed).otherwise(one)
+    names: list[str] = []
+    for n in kind.names:
+        while n.lower() in {x.lower() for x in names}:
+            n += "_"
+        names.append(n)
+    fields = list(zip(names, kind.fields, strict=True))
+    part = lambda e: F.struct(*[F.try_variant_get(F.element_at(e, F.lit(f.name)), "$", _ddl(f.dataType)).alias(n) for n, f in fields])
+    one = F.array(F.struct(*[(c if f.name == "text" else F.lit(None).cast(f.dataType)).alias(n) for n, f in fields]))
+    none = F.array().cast(T.ArrayType(T.StructType([T.StructField(n, f.dataType) for n, f in fields])))
+
+    def decide(opened: Column) -> Column:
+        return F.when(_is_list(opened), F.transform(opened[0], lambda e: F.when(e.isNotNull(), part(e)))).otherwise(one)
 
     # a lambda's variable holds the parsed text, else each of its uses would parse again
-    return F.when(c.isNull() | (c == ""), F.array().cast(_PARTS)).otherwise(F.transform(F.array(parsed), decide)[0])
+    return F.when(c.isNull() | (c == ""), none).otherwise(F.transform(F.array(_opened(c)), decide)[0])
 
 
 def prediction_tables(predictions: DataFrame, record: str = "rec_id") -> dict[str, DataFrame]:
-    """The flat tables of predictions: ``predictions`` (usage_input_tokens), ``.messages`` and ``.messages.content``."""
+    """The flat tables of predictions: ``predictions`` (usage_input_tokens), ``.messages``, ``.messages.content`` with
+    all fields that parts have by part_schema(), and a table for each array inside parts."""
+    kind = part_schema(predictions.select(F.explode("messages.content").alias("content")), "content")
     slim = predictions.select(
         F.col(record).alias("record"),
         F.struct(F.col("model_output.usage.input_tokens").alias("input_tokens")).alias("usage"),
         F.transform(
-            F.arrays_zip(F.col("messages.role").alias("role"), F.col("messages.content").alias("content")), lambda m: F.struct(m["role"].alias("role"), content_parts(m["content"]).alias("content"))
+            F.arrays_zip(F.col("messages.role").alias("role"), F.col("messages.content").alias("content")), lambda m: F.struct(m["role"].alias("role"), content_parts(m["content"], kind).alias("content"))
         ).alias("messages"),
     )
     return relational(slim, "record", "predictions")

@@ -56,6 +56,12 @@ def p5_subsets(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def p5_parts(spark: SparkSession, folder: str) -> DataFrame:
+    return nested.prediction_tables(table(spark, folder, "predictions"))["predictions.messages.content"].select("parent_id", "path", "type")
+
+
+@catalogue.add("p5_part_fields")
+def p5_part_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """p5_parts with every field that parts have in the table."""
     return nested.prediction_tables(table(spark, folder, "predictions"))["predictions.messages.content"].drop("ordinals")
 
 

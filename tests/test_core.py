@@ -143,6 +143,19 @@ def test_content_parts(spark):
         assert [i for i, e in enumerate(r["p"]) if e is not None] == parts_of(r["c"]), r["c"][:60]
 
 
+def test_part_fields(spark):
+    rows = [(1, [("user", "plain words"), None, ("assistant", '[{"type":"text","text":"hi","refusal":false},null,{"type":"data","data":{"k":8,"tags":["x",null]},"signature":null}]')]), (2, [("user", '["a", "b"]'), ("user", '[{"type":"x","n":1,"Text":"T"}, {"type":"y","n":"s","data":{"k":9}}]')]), (3, [("user", "")]), (4, None)]
+    df = spark.createDataFrame(rows, "rec_id bigint, messages array<struct<role:string,content:string>>").withColumn("model_output", F.expr("named_struct('usage', named_struct('input_tokens', 1L))"))
+    t = nested.prediction_tables(df)
+    got = {(r["parent_id"], r["path"]): {k: v for k, v in r.asDict().items() if v is not None and k not in ("parent_id", "path", "ordinals")} for r in t["predictions.messages.content"].collect()}
+    assert got == {
+        (1, "messages[0].content[0]"): {"text": "plain words"}, (1, "messages[2].content[0]"): {"type": "text", "text": "hi", "refusal": False}, (1, "messages[2].content[2]"): {"type": "data", "data_k": 8},
+        (2, "messages[0].content[0]"): {"text": '["a", "b"]'}, (2, "messages[1].content[0]"): {"type": "x", "n": "1", "Text_": "T"}, (2, "messages[1].content[1]"): {"type": "y", "n": "s", "data_k": 9},
+    }
+    assert "signature" in t["predictions.messages.content"].columns
+    assert [(r["path"], r["value"]) for r in t["predictions.messages.content.data.tags"].collect()] == [("messages[2].content[2].data.tags[0]", "x")]
+
+
 def test_nested_tables(spark):
     rows = [(1, "n", [{"a": 1, "b": [{"c": 5}, None, {"c": 6}]}, None, {"a": 2, "b": []}]), (2, "n", []), (3, None, None), (1, "n", [{"a": 1, "b": None}])]
     df = spark.createDataFrame(rows, "path int, name string, xs array<struct<a:int,b:array<struct<c:int>>>>")
