@@ -168,6 +168,25 @@ def test_nested_tables(spark):
     assert {r["parent_id"]: r["fields_a"] for r in nested.json_tables(j, "id", "j")["json"].collect()} == {1: 1.0, 2: 2.5, 3: None, 4: None}
 
 
+def test_sessions_over_many_files(spark, tmp_path):
+    import datetime
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tallyloom.plans.streams import t06_sessions
+
+    (tmp_path / "events.parquet").mkdir()
+    for i in range(203):  # three batches of files; the last file is later than the watermark
+        p = tmp_path / "events.parquet" / f"part-{i:05d}.parquet"
+        ts = datetime.datetime(2024, 5, 1) + datetime.timedelta(days=0 if i == 202 else 60, minutes=i)
+        pq.write_table(pa.table({"user_id": pa.array([i % 2], pa.int64()), "ts": pa.array([ts], pa.timestamp("us"))}), p)
+        os.utime(p, (1_700_000_000 + i, 1_700_000_000 + i))
+    got = sorted((r["user_id"], str(r["start"]), r["n"]) for r in t06_sessions(spark, str(tmp_path)).collect())
+    assert got == [(0, "2024-05-01 03:22:00", 1), (0, "2024-06-30 00:00:00", 101), (1, "2024-06-30 00:01:00", 101)]
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"q": "x", "n": 1}\nbroken\n{"q": "y"}\n')
     assert readers.read_jsonl(spark, str(tmp_path / "a.jsonl"), "q string, n int").count() == 2
