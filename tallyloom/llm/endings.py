@@ -9,10 +9,10 @@ import re
 COMPLETE, CUT, ITEM, ELLIPSIS, EMPTY = 0, 1, 2, 3, 4
 
 # Marks that cutters append, placeholders of missing answers, and what may follow a sentence's end.
-_MARK = re.compile(r"(?:(?:\.{2,}|…)?\s*(?:\[\s*(?:truncated|cut|snip|snipped|clipped|more|continued|\.{3}|…)[^\]\n]{0,20}\]|<\s*(?:snip|cut|truncated|more|clipped)\s*/?>|\(\s*(?:more|cont(?:inued|'d)?|truncated|cut|snip)\.?\s*\)))+\s*$", re.I)
+_MARK = re.compile(r"\[\s*(?:truncated|cut|snip|snipped|clipped|more|continued|\.{3}|…)[^\]\n]*\]|<\s*(?:snip|cut|truncated|more|clipped)\s*/?>|\(\s*(?:more|cont(?:inued|'d)?|truncated|cut|snip)\.?\s*\)", re.I)
+_OPENERS = {"]": "[", ">": "<", ")": "("}
 _PLACEHOLDER = re.compile(r"(?i)^(?:none|null|nil|nan|n/?a|undefined|empty|todo|tbd|no answer|no response|\[?(?:invalid|empty|blank)\]?|[-–—_.…*#?!\"'“”‘’`~|/\\\s]*)$")
 _BARE_LABEL = re.compile(r"(?i)^[\W_]*(?:final\s+)?(?:answer|response|output|result|solution|assistant|antwort|respuesta|réponse|答案|回答)[\W_]*$")
-_END = 200
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00A0, 0xAD], " ")
 _ENDS = ".!?。！？؟।"
 _CLOSERS = "\"'”’»›)]}*_`）】」』 \t"
@@ -23,7 +23,10 @@ _FIELD = re.compile(r"^\s*[*_]{0,2}[^\W\d][\w ]{0,30}[*_]{0,2}\s*[:：][*_]{0,2}
 _TAG_OPEN = re.compile(r"<(answer|result|final|output|response|think|thinking|reasoning)>", re.I)
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _PROSE = re.compile(r"(?:^|[ \n])[^\W\d_]{2,}[ ,][^\W\d_]+ [^\W\d_]{2,}|[㐀-鿿]{12}")
-_MUSING = re.compile(r"(?i)\bwho knows (?:what|who|where|when|why|how)\b[^.!?…\n]* next$")  # a whole sentence whatever the corpus has
+_WHOLE_TAG = re.compile(r"</?\w+>")
+_OPEN_TAG = re.compile(r"<[a-z/]{0,12}")
+_OPEN_COMMAND = re.compile(r"\\[a-z]*")
+_BOXED = re.compile(r"\\boxed\{[^{}]*\}\W*")
 _decoder = json.JSONDecoder()
 
 
@@ -88,9 +91,19 @@ def _item_key(line: str) -> str:
 
 
 def _ellipsis_key(body: str, text: str) -> str:
-    """The last words, or ``?`` after a musing that is whole, and the text's hash, as copies say nothing more."""
-    end = "?" if _MUSING.search(body[-_END:]) else words(body[-80:], 2, True)
-    return f"{end}\x01{hashlib.blake2b(text.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
+    """The last words and the text's hash, as copies say nothing more."""
+    return f"{words(' '.join(body.rsplit(None, 3)[-3:]), 2, True)}\x01{hashlib.blake2b(text.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
+
+
+def without_marks(t: str) -> tuple[str, bool]:
+    """The text before the marks of a cut at its end, and whether there are any."""
+    at = len(t)
+    while at and (opener := _OPENERS.get(t[at - 1])) and (start := t.rfind(opener, 0, at)) >= 0 and _MARK.fullmatch(t, start, at):
+        at = len(t[:start].rstrip())
+    body = t[:at].rstrip()
+    if at < len(t) and body.endswith(("..", "…")):  # the dots are the mark's own
+        body = body.rstrip(".…").rstrip()
+    return body, at < len(t)
 
 
 def _sentence_end(line: str) -> bool:
@@ -99,57 +112,58 @@ def _sentence_end(line: str) -> bool:
 
 
 def ending(text: str) -> tuple[int, str, list[str]]:
-    """(code, key, items): how the text ends; for ITEM and ELLIPSIS the key that the corpus is asked about, and of a
-    list without full stops the keys of all its items but the last, which are known to be whole."""
+    """(code, key, items): how the text ends.
+
+    For ITEM and ELLIPSIS the key is what the corpus is asked about; for CUT it is ``broken`` (a code or JSON block, tag
+    or list number stays open), ``marked`` or ``open`` (a line that stops); for COMPLETE it is ``phrase``, ``\\x01`` and the
+    last word where a lone line without a stop may be a whole phrase, else ''. Of a list without full stops ``items``
+    has the keys of all items but the last, which are known to be whole.
+    """
     t = text.rstrip("".join(map(chr, _INVISIBLE)) + " \t\r\n\f\v")
     if is_empty(t):
         return EMPTY, "", []
     if t[-1] == "�":
-        return CUT, "", []
-    # what is asked of the end only needs the end: searching all of a long text for it would cost the more for nothing
-    end = t[-_END:]
-    marked = _MARK.search(end) if end[-1] in "]>)" else None
-    if marked:
-        t = t[: len(t) - len(end) + marked.start()].rstrip()
-        if not t:
-            return EMPTY, "", []
+        return CUT, "broken", []
+    t, marked = without_marks(t)
+    if not t:
+        return EMPTY, "", []
     opened = _open_json(t)
     if opened is not None:
-        return (CUT if opened else COMPLETE), "", []
+        return (CUT, "broken", []) if opened else (COMPLETE, "", [])
     if len(_FENCE.findall(t)) % 2:
-        return CUT, "", []
+        return CUT, "broken", []
     low = t.lower()
     for tag in {m.lower() for m in _TAG_OPEN.findall(t)}:
         if low.rfind(f"<{tag}>") > low.rfind(f"</{tag}>"):
-            return CUT, "", []
-    end = t[-_END:]
-    if t.endswith("```") or end[-1] == ">" and re.search(r"</?\w+>$", end) or "\\boxed" in t and re.search(r"\\boxed\{[^{}]*\}\W*$", t):
+            return CUT, "broken", []
+    angle, slash = t[max(0, t.rfind("<")) :], t[max(0, t.rfind("\\")) :]
+    boxed = t[t.rfind("\\boxed") :] if "\\boxed" in t else ""
+    if t.endswith("```") or _WHOLE_TAG.fullmatch(angle) or _BOXED.fullmatch(boxed):
         return COMPLETE, "", []
-    if re.search(r"<[a-z/]{0,12}$|\\[a-z]*$", end) or "\\boxed" in t and re.search(r"\\boxed\{[^{}]*$", t):
-        return CUT, "", []
+    if _OPEN_TAG.fullmatch(angle) or _OPEN_COMMAND.fullmatch(slash) or boxed and "}" not in boxed:
+        return CUT, "broken", []
     lines = t.split("\n")
     last = lines[-1]
     if len(lines) > 1 and _ONLY_BULLET.match(last):
-        return CUT, "", []
-    if re.search(r"(?:\.{2,}|…)[\"'”’»)\]]*$", end):
-        body = re.sub(r"(?:\.{2,}|…)[\"'”’»)\]]*$", "", t)
-        return (CUT, "", []) if marked or _CJK.search(body[-3:]) else (ELLIPSIS, _ellipsis_key(body, t), [])
+        return CUT, "broken", []
+    bare = t.rstrip("\"'”’»)]")
+    if bare.endswith(("..", "…")):
+        body = bare.rstrip(".…")
+        return (CUT, "marked", []) if marked or _CJK.search(body[-3:]) else (ELLIPSIS, _ellipsis_key(body, t), [])
     if _sentence_end(last):
         return COMPLETE, "", []
-    items = [x for x in lines[:-1] if _LIST.match(x)]
     if marked:
-        return CUT, "", []
+        return CUT, "marked", []
+    items = [x for x in lines[:-1] if _LIST.match(x)]
     if _LIST.match(last) and items:
         if sum(map(_sentence_end, items)) * 2 > len(items):
-            return CUT, "", []
+            return CUT, "open", []
         return ITEM, _item_key(last), [_item_key(x) for x in items]
     if last.endswith((":", "：")):
-        return CUT, "", []
+        return CUT, "open", []
     if _FIELD.match(last) or (last.endswith((")", "）")) and last.count("(") + last.count("（") == last.count(")") + last.count("）")):
         return COMPLETE, "", []
-    n = len(last.split())
-    if len(lines) == 1 and ((n <= 3 and not _CJK.search(last)) or (_CJK.search(last) and len(last) <= 5)) and not re.search(r"[,;，；、]$", last):
-        return COMPLETE, "", []
-    if len(lines) == 1 and t == low and not _CJK.search(t) and not re.search(r"[,;]$", t):
-        return COMPLETE, "", []  # a phrase in lower case without stops, as of a query
-    return CUT, "", []
+    n, cjk = len(last.split()), bool(_CJK.search(last))
+    if len(lines) == 1 and not last.endswith((",", ";", "，", "；", "、")) and (len(last) <= 5 if cjk else n <= 3 or t == low):
+        return COMPLETE, f"phrase\x01{words(last, 1, True)}", []  # a term, or lower case without stops, as of a query
+    return CUT, "open", []
