@@ -8,6 +8,7 @@ the vote is worth. Agreement is Krippendorff's alpha, which allows for missing r
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -70,11 +71,12 @@ def usable_votes(answers: DataFrame, aliases: DataFrame) -> DataFrame:
 class Consensus:
     """``items``: sample_key, stage, kind, votes, consensus_label, confidence, agreement, n_votes.
     ``judges``: kind, judge, true_label, label, rate (how often the judge says label where true_label holds), accuracy, n_votes.
-    ``rounds``: iterations until stable."""
+    ``rounds``: iterations made; ``stable``: whether the last one changed no rate by the tolerance."""
 
     items: DataFrame
     judges: DataFrame
     rounds: int
+    stable: bool
 
 
 def _labels(kind: str) -> list[str]:
@@ -85,7 +87,7 @@ def reweighted_consensus(votes: DataFrame, min_votes: int = 3, prior: float = 2.
     """Consensus of the items with at least ``min_votes`` votes; one vote a judge and item, as usable_votes() gives.
 
     Items are first reduced to distinct sets of votes with their counts, so a round's cost follows the number of
-    different vote sets, not of items. A round's only result on the driver is one row for each judge and pair of
+    different vote sets, not of items, and votes are numbered, so that a vote's rates are one array access. A round's only result on the driver is one row for each judge and pair of
     labels; ``max_judges`` bounds it, and more judges are refused. An item's list of votes holds one vote a judge.
     Smoothing adds ``prior`` votes of a judge of average accuracy. Ties go to the label first in order. No votes at
     all give empty results.
@@ -97,23 +99,24 @@ def reweighted_consensus(votes: DataFrame, min_votes: int = 3, prior: float = 2.
     )
     items = durable(items, "items")
     sets = durable(items.groupBy("kind", "votes").agg(F.count("*").alias("n")), "vote-sets")
-    members = sets.select("kind", F.explode("votes.judge").alias("judge")).distinct().limit(max_judges + 1).collect()
+    members = sets.select("kind", F.explode("votes.judge").alias("judge")).distinct().orderBy("kind", "judge").limit(max_judges + 1).collect()
     if len(members) > max_judges:
         raise ValueError(f"more than {max_judges} judges")
+    sets = durable(_coded(sets, members), "coded-sets")
     kinds = {k: _labels(k) for k in ("binary", "levels")}
     # a judge starts as somewhat better than chance, alike for all
     rates = {(m["kind"], m["judge"], t, v): (0.7 if t == v else 0.3 / (len(kinds[m["kind"]]) - 1)) for m in members for t in kinds[m["kind"]] for v in kinds[m["kind"]]}
     share = {(k, t): 1 / len(ls) for k, ls in kinds.items() for t in ls}
     counts: dict[tuple, float] = {}
     rounds = 0
-    while members and rounds < max_rounds:
+    stable = not members
+    while not stable and rounds < max_rounds:
         rounds += 1
-        counts, sure, share = _round(sets, rates, share, kinds)
+        counts, sure, share = _round(sets, members, rates, share, kinds)
         new = _accuracies(counts, sure, rates, kinds, prior)
         change = max(abs(new[x] - rates[x]) for x in rates)
         rates = new
-        if change < tolerance:
-            break
+        stable = change < tolerance
     rows = []
     for (k, j, t, v), r in sorted(rates.items()):
         held = {a: sum(counts.get((k, j, a, b), 0.0) for b in kinds[k]) for a in kinds[k]}
@@ -121,25 +124,43 @@ def reweighted_consensus(votes: DataFrame, min_votes: int = 3, prior: float = 2.
         accuracy = sum(held[a] * rates[k, j, a, a] for a in held) / n if n else rates[k, j, t, t]
         rows.append((k, j, t, v, float(r), float(accuracy), float(n)))
     judges = spark.createDataFrame(rows, "kind string, judge string, true_label string, label string, rate double, accuracy double, n_votes double")
-    return Consensus(_decide(items, rates, share, kinds), judges, rounds)
+    return Consensus(_decide(items, sets, members, rates, share, kinds), judges, rounds, stable)
 
 
-def _own(judge: Column, label: Column, kind: Column, rates: dict, kinds: dict) -> Column:
-    """A vote's log weights for the labels, in the order of the kind's labels: array<double>."""
-    by = sorted({(k, j, v) for k, j, _, v in rates})
-    table = F.create_map(*[x for k, j, v in by for x in (F.lit(f"{k}\x01{j}\x01{v}"), F.array(*[F.lit(math.log(rates[k, j, t, v])) for t in kinds[k]]))])
-    return F.element_at(table, F.concat_ws("\x01", kind, judge, label))
+def _coded(sets: DataFrame, members: list) -> DataFrame:
+    """``sets`` with ``codes``: each vote as three times its judge's number plus its label's."""
+    spark = sets.sparkSession
+    rows = [(m["kind"], m["judge"], v, 3 * i + l) for i, m in enumerate(members) for l, v in enumerate(_labels(m["kind"]))]
+    index = spark.createDataFrame(rows, "kind string, judge string, label string, code int")  # three rows a judge, bounded by max_judges
+    numbered = durable(sets.withColumn("sid", F.monotonically_increasing_id()), "numbered-sets")
+    votes = numbered.select("sid", "kind", F.explode("votes").alias("x")).select("sid", "kind", "x.judge", "x.label")
+    codes = votes.join(F.broadcast(index), ["kind", "judge", "label"]).groupBy("sid").agg(F.collect_list("code").alias("codes"))
+    return numbered.join(codes, "sid").drop("sid")
+
+
+def _weights(members: list, rates: dict, kinds: dict) -> Column:
+    """All votes' log rates as one constant, three for each code; labels that a kind lacks can't be."""
+    flat = []
+    for m in members:
+        ls = kinds[m["kind"]]
+        for v in (*ls, *[None] * (3 - len(ls))):
+            flat += [math.log(rates[m["kind"], m["judge"], ls[t], v]) if v and t < len(ls) else -1e3 for t in range(3)]
+    return F.from_json(F.lit(json.dumps(flat)), "array<double>")
 
 
 def _start(kind: Column, share: dict, kinds: dict) -> Column:
-    return F.element_at(F.create_map(*[x for k, ls in kinds.items() for x in (F.lit(k), F.array(*[F.lit(math.log(max(share[k, t], 1e-6))) for t in ls]))]), kind)
+    logs = lambda k, ls: [math.log(max(share[k, t], 1e-6)) for t in ls] + [-1e3] * (3 - len(ls))
+    return F.element_at(F.create_map(*[x for k, ls in kinds.items() for x in (F.lit(k), F.array(*map(F.lit, logs(k, ls))))]), kind)
+
 
+def _own(code: Column, weights: Column) -> Column:
+    """A vote's log rates for the labels."""
+    return F.slice(weights, code * 3 + 1, 3)
 
-def _scores(rates: dict, share: dict, kinds: dict) -> Column:
+
+def _scores(weights: Column, share: dict, kinds: dict) -> Column:
     """The labels' log weights by all votes of a row."""
-    kind = F.col("kind")
-    add = lambda s, x: F.zip_with(s, _own(x["judge"], x["label"], kind, rates, kinds), lambda a, b: a + b)
-    return F.aggregate("votes", _start(kind, share, kinds), add)
+    return F.aggregate("codes", _start(F.col("kind"), share, kinds), lambda s, c: F.zip_with(s, _own(c, weights), lambda a, b: a + b))
 
 
 def _softmax(scores: Column) -> Column:
@@ -148,30 +169,31 @@ def _softmax(scores: Column) -> Column:
     return F.transform(F.array(e(scores)), whole)[0]
 
 
-def _round(sets: DataFrame, rates: dict, share: dict, kinds: dict) -> tuple[dict, dict, dict]:
+def _round(sets: DataFrame, members: list, rates: dict, share: dict, kinds: dict) -> tuple[dict, dict, dict]:
     """Leave-one-out sums over all votes, on the driver: one row for each kind, judge and label.
 
     The first is by (kind, judge, true label, label), the second by (kind, judge, label, label) holds the products of
     the labels' shares, which tell how far the others' consensus itself is sure. The third has each label's share.
     """
-    scored = sets.withColumn("_s", _scores(rates, share, kinds))
-    nobody = F.struct(F.lit("").alias("judge"), F.lit("").alias("label"))  # stands for the consensus of all votes
-    each = scored.select("kind", "n", "_s", F.explode(F.concat("votes", F.array(nobody))).alias("x")).select("kind", "n", "_s", "x.judge", "x.label")
-    own = F.coalesce(_own(F.col("judge"), F.col("label"), F.col("kind"), rates, kinds), F.transform("_s", lambda _: F.lit(0.0)))
-    p = each.select("kind", "judge", "label", "n", _softmax(F.zip_with("_s", own, lambda a, b: a - b)).alias("p"))
-    size = max(map(len, kinds.values()))
-    sums = [F.sum(F.col("n") * F.get("p", F.lit(i))).alias(f"p{i}") for i in range(size)]
-    sums += [F.sum(F.col("n") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))).alias(f"q{i}{j}") for i in range(size) for j in range(size)]
+    weights = _weights(members, rates, kinds)
+    scored = sets.select("kind", "n", "codes", _scores(weights, share, kinds).alias("_s"))
+    # the code -1 stands for the consensus of all votes
+    each = scored.select("kind", "n", "_s", F.explode(F.concat("codes", F.array(F.lit(-1)))).alias("code"))
+    others = F.when(F.col("code") < 0, F.col("_s")).otherwise(F.zip_with("_s", _own(F.greatest("code", F.lit(0)), weights), lambda a, b: a - b))
+    p = each.select("kind", "code", "n", _softmax(others).alias("p"))
+    sums = [F.sum(F.col("n") * F.get("p", F.lit(i))).alias(f"p{i}") for i in range(3)]
+    sums += [F.sum(F.col("n") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))).alias(f"q{i}{j}") for i in range(3) for j in range(3)]
     counts, sure, whole = {}, {}, {}
-    for r in p.groupBy("kind", "judge", "label").agg(*sums).collect():
-        k, j, v = r["kind"], r["judge"], r["label"]
+    for r in p.groupBy("kind", "code").agg(*sums).collect():
+        k, code = r["kind"], r["code"]
         for a, t in enumerate(kinds[k]):
-            if j:
-                counts[k, j, t, v] = r[f"p{a}"]
-                for b, u in enumerate(kinds[k]):
-                    sure[k, j, t, u] = sure.get((k, j, t, u), 0.0) + r[f"q{a}{b}"]
-            else:
+            if code < 0:
                 whole[k, t] = r[f"p{a}"]
+                continue
+            j, v = members[code // 3]["judge"], kinds[k][code % 3]
+            counts[k, j, t, v] = r[f"p{a}"]
+            for b, u in enumerate(kinds[k]):
+                sure[k, j, t, u] = sure.get((k, j, t, u), 0.0) + r[f"q{a}{b}"]
     shares = {(k, t): (whole.get((k, t), 0.0) + 1) / (sum(whole.get((k, u), 0.0) for u in ls) + len(ls)) for k, ls in kinds.items() for t in ls}
     return counts, sure, shares
 
@@ -196,16 +218,13 @@ def _accuracies(counts: dict, sure: dict, before: dict, kinds: dict, prior: floa
     return rates
 
 
-def _decide(items: DataFrame, rates: dict, share: dict, kinds: dict) -> DataFrame:
-    if not rates:
-        return items.select("sample_key", "stage", "kind", "votes", F.lit(None).cast("string").alias("consensus_label"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("double").alias("agreement"), F.size("votes").alias("n_votes"))
+def _decide(items: DataFrame, sets: DataFrame, members: list, rates: dict, share: dict, kinds: dict) -> DataFrame:
+    """Each different set of votes is decided once, and its items take the label over."""
     labels = F.create_map(*[x for k, ls in kinds.items() for x in (F.lit(k), F.array(*map(F.lit, ls)))])
-    p = _softmax(F.col("_s"))
-    scored = items.withColumn("_s", _scores(rates, share, kinds)).withColumn("_p", p)
+    scored = sets.select("kind", "votes", _softmax(_scores(_weights(members, rates, kinds), share, kinds)).alias("_p"))
     best = F.array_position("_p", F.array_max("_p")).cast("int")
-    return scored.withColumn("consensus_label", F.element_at(F.element_at(labels, F.col("kind")), best)).select(
-        "sample_key", "stage", "kind", "votes", "consensus_label", F.array_max("_p").alias("confidence"), _pairwise(F.col("votes.label")).alias("agreement"), F.size("votes").alias("n_votes")
-    )
+    decided = scored.select("kind", "votes", F.element_at(F.element_at(labels, F.col("kind")), best).alias("consensus_label"), F.array_max("_p").alias("confidence"))
+    return items.join(decided, ["kind", "votes"], "left").select("sample_key", "stage", "kind", "votes", "consensus_label", "confidence", _pairwise(F.col("votes.label")).alias("agreement"), F.size("votes").alias("n_votes"))
 
 
 def _pairwise(labels: Column) -> Column:
