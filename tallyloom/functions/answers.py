@@ -118,15 +118,28 @@ def _split(t: str) -> list[str]:
     return [*out, t[at:]]
 
 
+_AROUND = "".join(c for c in string.punctuation if c not in "-.")
+
+
+def _number(w: str) -> str | None:
+    """A number's one spelling, so that 7 is 7.0; None for what is no number."""
+    try:
+        return str(float(w))
+    except ValueError:
+        return None
+
+
 def bag_f1(predicted: list[str], gold: list[str]) -> float:
     """The mean F1 of the best one-to-one matching of answer spans, by bags of words; numbers must agree. Rounded to 2."""
     def bag(s: str) -> set[str]:
-        words = re.findall(r"[^\s-]+", s.lower())
-        clean = [w if re.fullmatch(r"-?\d+(?:\.\d+)?", w) else w.strip(string.punctuation) for w in words]
-        return {w for w in clean if w and w not in ("a", "an", "the")}
+        words = []
+        for w in re.split(r"[\s-]+", s.lower()):
+            number = _number(w.strip(_AROUND))
+            words.append(number if number is not None else "".join(c for c in w if c not in string.punctuation))
+        return {w for w in words if w and w not in ("a", "an", "the")}
 
     def f1(p: set[str], g: set[str]) -> float:
-        numbers = {w for w in g if re.fullmatch(r"-?\d+(?:\.\d+)?", w)}
+        numbers = {w for w in g if _number(w) is not None}
         if numbers and not numbers & p or not p or not g:
             return float(not p and not g)
         n = len(p & g)
@@ -200,11 +213,16 @@ def tags_of(tokens: list[str], marked: str) -> list[str]:
     return tags
 
 
-def plain(t: str) -> str:
-    """Basic normalisation of speech transcripts: compatibility forms, lower case, no brackets' content, no marks."""
-    s = re.sub(r"[<\[][^>\]]*[>\]]|\([^)]*\)", "", unicodedata.normalize("NFKC", t).lower())
-    s = "".join(" " if unicodedata.category(c)[0] in "MSP" else c for c in s)
-    return re.sub(r"\s+", " ", s).strip()
+#: What a transcript has in brackets, and what is neither letter, digit nor blank.
+_ASIDES = r"<[^<>]*>|\[[^\[\]]*\]|\([^()]*\)"
+_SIGNS = r"[\p{M}\p{P}\p{S}]"
+
+
+def plain(c: Column) -> Column:
+    """A speech transcript to compare: compatibility forms in lower case, without asides in brackets; signs are blanks,
+    and blanks are single. Only the compatibility forms need a function."""
+    bare = F.regexp_replace(F.lower(_compatible(c)), _ASIDES, "")
+    return F.btrim(F.regexp_replace(F.regexp_replace(bare, _SIGNS, " "), r"\s+", " "))
 
 
 def greedy_distinct(vectors: list[list[float]], threshold: float = 0.6) -> list[int]:
@@ -222,15 +240,45 @@ def greedy_distinct(vectors: list[list[float]], threshold: float = 0.6) -> list[
     return kept
 
 
+# Words that don't tell ideas apart.
+_EMPTY_WORDS = frozenset("a an the of for to and with in on at from by as into via using use used be is are was were this that these those your their our its".split())
+
+
+def idea_words(t: str) -> list[str]:
+    """The words that tell an idea apart: without marks and empty words, plurals as singulars."""
+    bare = "".join(c for c in unicodedata.normalize("NFKC", t) if not unicodedata.combining(c)).lower()
+    out = []
+    for w in re.findall(r"[^\W_]+", bare):
+        if w not in _EMPTY_WORDS:
+            plural = w.endswith("s") and not w.endswith("ss") and len(w) > 3
+            out.append(w[:-3] + "y" if w.endswith("ies") and len(w) > 4 else w[:-1] if plural else w)
+    return out
+
+
 def near_duplicate(a: str, b: str) -> bool:
-    """Whether two short texts say the same: equal words, one's words within the other's, three quarters shared, or 0.84 alike."""
+    """Whether two short ideas are one: equal by idea_words(), 0.84 alike, three quarters of the words shared, one word
+    added to at least two, or one's beginning that is four fifths of it. Ideas without words are like nothing."""
     import difflib
 
-    x, y = plain(a), plain(b)
-    p, q = set(x.split()), set(y.split())
-    if not p or not q:
-        return x == y
-    return x == y or (min(len(p), len(q)) >= 2 and (p <= q or q <= p)) or len(p & q) / len(p | q) >= 0.75 or difflib.SequenceMatcher(None, x, y).ratio() >= 0.84
+    x, y = idea_words(a), idea_words(b)
+    if not x or not y:
+        return False
+    s, t = " ".join(x), " ".join(y)
+    p, q = sorted((set(x), set(y)), key=len)
+    short, long = sorted((s, t), key=len)
+    shared = len(p & q) / len(p | q) >= 0.75
+    qualified = p <= q and len(p) >= 2 and len(q) - len(p) <= 1
+    begins = long.startswith(short) and len(short) >= 0.8 * len(long)
+    return s == t or shared or qualified or begins or difflib.SequenceMatcher(None, s, t).ratio() >= 0.84
+
+
+def new_ideas(ideas: list[str] | None, history: list[str] | None = None) -> list[str]:
+    """The ideas, in order, that are no near_duplicate() of the history or of an idea kept before; blank ones go."""
+    kept: list[str] = []
+    for x in ideas or []:
+        if x and x.strip() and not any(near_duplicate(x, y) for y in [*(history or []), *kept]):
+            kept.append(x)
+    return kept
 
 
 def arrow(f: Callable, kind: str) -> Callable[..., Column]:
@@ -248,6 +296,7 @@ def arrow(f: Callable, kind: str) -> Callable[..., Column]:
     return lambda *c: F.pandas_udf(one if len(c) == 1 else two, kind)(*c)
 
 
+_compatible = arrow(lambda t: None if t is None else unicodedata.normalize("NFKC", t), "string")
 extract_answer = arrow(extracted, "string")
 math_equal = arrow(lambda a, b: float(equal(a, b)), "double")
 drop_f1 = arrow(lambda p, g: bag_f1(p if p is not None else [], g if g is not None else []), "double")

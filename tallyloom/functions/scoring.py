@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -108,9 +109,14 @@ def _overlap(p: Column, r: Column) -> Column:
     return once(F.struct(p.alias("p"), r.alias("r")), lambda x: F.struct(x["p"].alias("p"), x["r"].alias("r"), _bag_overlap(x["p"], x["r"]).cast("double").alias("n")))
 
 
-def rouge_n(prediction: Column, reference: Column, n: int = 1) -> Column:
-    """struct<precision, recall, f1> over n-grams of words."""
-    return bag_scores(text.ngrams(text.words(prediction), n), text.ngrams(text.words(reference), n))
+def rouge_n(prediction: Column, reference: Column, n: int = 1, by: str = "letters") -> Column:
+    """struct<precision, recall, f1> over n-grams of words, which text.words() tells apart."""
+    return bag_scores(text.ngrams(text.words(prediction, by), n), text.ngrams(text.words(reference, by), n))
+
+
+def best_over(prediction: Column, references: Column, score: Callable[[Column, Column], Column]) -> Column:
+    """The highest score over several references; 0 without any."""
+    return F.coalesce(F.array_max(F.transform(references, lambda r: score(prediction, r))), F.lit(0.0))
 
 
 def clipped_precision(prediction: Column, reference: Column, n: int = 1) -> Column:
@@ -170,10 +176,16 @@ def pass_hat_k(n: Column, c: Column, k: Column) -> Column:
     return F.when(c < k, 0.0).otherwise(F.aggregate(F.sequence(F.lit(0).cast("bigint"), k.cast("bigint") - 1), F.lit(1.0), lambda acc, i: acc * (c - i) / (n - i)))
 
 
+def verdict(c: Column) -> Column:
+    """YES or NO by the first word yes, true, no or false of a judge's text, in any case; null where it has none."""
+    word = F.lower(F.regexp_extract(c, r"(?i)(?:^|[^a-z0-9_])(yes|no|true|false)(?:[^a-z0-9_]|$)", 1))
+    return F.when(word.isin("yes", "true"), "YES").when(word.isin("no", "false"), "NO")
+
+
 def judged_score(c: Column) -> Column:
     """The last number in a judge's text, clamped to 0..1; null without one."""
     last = F.try_element_at(F.regexp_extract_all(c, F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1)), F.lit(-1)).cast("double")
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), last))
+    return F.when(last.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), last)))  # greatest and least pass over nulls
 
 
 def pairwise_score(c: Column, reversed_game: bool = False) -> Column:
@@ -206,7 +218,7 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def rouge_l(prediction: Column, reference: Column) -> Column:
+def rouge_l(prediction: Column, reference: Column, by: str = "letters") -> Column:
     """F1 over the longest common subsequence of words; an Arrow function, as the recurrence needs a table."""
 
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -218,7 +230,46 @@ def rouge_l(prediction: Column, reference: Column) -> Column:
                 out.append(2 * n / (len(p) + len(r)) if n else 0.0)
             yield pd.Series(out, dtype="float64")
 
-    return F.pandas_udf(score, "double")(text.words(prediction), text.words(reference))
+    return F.pandas_udf(score, "double")(text.words(prediction, by), text.words(reference, by))
+
+
+def rouge_l_sum(prediction: Column, reference: Column) -> Column:
+    """F1 over the union of each reference line's common subsequence words with the prediction's lines (an Arrow function)."""
+
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ps, rs in batches:
+            out = []
+            for p, r in zip(ps, rs, strict=True):
+                p, r = [list(x) for x in p], [list(x) for x in r]
+                left, right = Counter(w for x in p for w in x), Counter(w for x in r for w in x)
+                n, sizes = 0, (left.total(), right.total())
+                for line in r:
+                    for i in sorted(set().union(*(_lcs_places(line, other) for other in p))) if p else []:
+                        if left[line[i]] > 0 and right[line[i]] > 0:
+                            n, left[line[i]], right[line[i]] = n + 1, left[line[i]] - 1, right[line[i]] - 1
+                out.append(2 * n / sum(sizes) if n else 0.0)
+            yield pd.Series(out, dtype="float64")
+
+    lines = lambda c: F.transform(F.split(F.coalesce(c, F.lit("")), r"\n"), lambda x: text.words(x))
+    return F.pandas_udf(score, "double")(lines(prediction), lines(reference))
+
+
+def _lcs_places(a: list[str], b: list[str]) -> set[int]:
+    """The places in ``a`` of one longest common subsequence with ``b``."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = set(), 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.add(i)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:

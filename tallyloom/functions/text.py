@@ -133,9 +133,17 @@ def qa_normalised(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(low, r"\b(a|an|the)\b", " "), r"\s+", " "))
 
 
-def words(c: Column) -> Column:
-    """Tokens in lower case, split at what is no letter or digit; empty for null and ''."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+"), lambda w: w != "")
+def words(c: Column, by: str = "letters") -> Column:
+    """Tokens in lower case; empty for null and ''.
+
+    ``letters``: runs of letters and digits of any script, each Chinese character by itself; ``blanks``: what stands
+    between blanks; ``characters``: each character that is no blank.
+    """
+    low = F.lower(F.coalesce(c, F.lit("")))
+    if by == "characters":
+        return F.filter(F.split(F.regexp_replace(low, r"\s+", ""), ""), lambda w: w != "")
+    apart = F.split(low, r"\s+") if by == "blanks" else F.split(F.regexp_replace(low, "([㐀-鿿])", " $1 "), r"[^\p{L}\p{M}\p{N}]+")
+    return F.filter(apart, lambda w: w != "")
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:

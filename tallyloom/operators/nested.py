@@ -29,8 +29,10 @@ def _merged(merged: str | None) -> T.DataType:
 def relational(df: DataFrame, key: str, name: str = "root") -> dict[str, DataFrame]:
     """``{path: table}``: the record's own scalars under ``name``, and a child table for each array below it.
 
-    A child row has ``parent_id`` (the record's key), ``path`` (such as ``metrics[0].categories[2]``), the
-    ordinals of every level as ``ordinals``, and the element's scalars. Null and empty arrays give no rows; a
+    A row has ``parent_id`` (the record's key), ``path`` (such as ``metrics[0].categories[2]``), the ordinals of every
+    level as ``ordinals``, a key of its own as ``row_key``, that of the row right above it as ``parent_key`` (null for the
+    record), and the element's scalars. The entries of a map are a child table too, with ``key`` and in the order of
+    their keys, so that equal maps give equal rows. Null and empty arrays and maps give no rows; a
     null element gives none either, and doesn't shift its neighbours' ordinals. Struct fields are flattened with
     ``_``; names that would clash with the columns named here get a trailing ``_``. Each level explodes on its
     own from the record, so no join and no shuffle is needed to keep the links.
@@ -42,17 +44,23 @@ def relational(df: DataFrame, key: str, name: str = "root") -> dict[str, DataFra
         for f in kind:
             if isinstance(f.dataType, T.StructType):
                 out += scalars(f.dataType, at.getField(f.name), f"{prefix}{f.name}_")
-            elif not (isinstance(f.dataType, T.ArrayType)):
+            elif not isinstance(f.dataType, (T.ArrayType, T.MapType)):
                 out.append((prefix + f.name, at.getField(f.name)))
         return out
 
     def arrays(kind: T.StructType, at: Column, prefix: str = "") -> list[tuple[str, T.ArrayType, Column]]:
+        """The arrays of a struct, and its maps as arrays of their entries."""
         out: list[tuple[str, T.ArrayType, Column]] = []
         for f in kind:
             if isinstance(f.dataType, T.StructType):
                 out += arrays(f.dataType, at.getField(f.name), f"{prefix}{f.name}.")
             elif isinstance(f.dataType, T.ArrayType):
                 out.append((prefix + f.name, f.dataType, at.getField(f.name)))
+            elif isinstance(f.dataType, T.MapType):
+                m = f.dataType
+                entry = T.StructType([T.StructField("key", m.keyType, False), T.StructField("value", m.valueType)])
+                by_key = lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)
+                out.append((prefix + f.name, T.ArrayType(entry), F.array_sort(F.map_entries(at.getField(f.name)), by_key)))
         return out
 
     def named(columns: list[tuple[str, Column]], taken: set[str]) -> list[Column]:
@@ -64,16 +72,19 @@ def relational(df: DataFrame, key: str, name: str = "root") -> dict[str, DataFra
             out.append(c.alias(n))
         return out
 
+    key_of = lambda path: F.concat(F.col("parent_id").cast("string"), F.lit(":"), F.col(path))
+    row_key = key_of("path")
+
     def walk(base: DataFrame, label: str, kind: T.StructType) -> None:
-        own = named(scalars(kind, F.col("_e")), {"parent_id", "path", "ordinals"})
-        tables[label] = base.select("parent_id", "path", "ordinals", *own)
+        own = named(scalars(kind, F.col("_e")), {"parent_id", "path", "ordinals", "row_key", "parent_key"})
+        tables[label] = base.select("parent_id", "path", "ordinals", row_key.alias("row_key"), (F.lit(None).cast("string") if label == name else key_of("_above")).alias("parent_key"), *own)
         for child, of, at in arrays(kind, F.col("_e")):
             opened = base.select("parent_id", "path", "ordinals", F.posexplode_outer(at).alias("_i", "_x")).filter("_x is not null")
             place = F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), F.lit(child), F.lit("["), F.col("_i"), F.lit("]"))
             element = of.elementType
             value = F.col("_x") if isinstance(element, T.StructType) else F.struct(F.col("_x").alias("value"))
             inner = element if isinstance(element, T.StructType) else T.StructType([T.StructField("value", element)])
-            walk(opened.select("parent_id", place.alias("path"), F.concat("ordinals", F.array("_i")).alias("ordinals"), value.alias("_e")), f"{label}.{child}", inner)
+            walk(opened.select("parent_id", F.col("path").alias("_above"), place.alias("path"), F.concat("ordinals", F.array("_i")).alias("ordinals"), value.alias("_e")), f"{label}.{child}", inner)
 
     record = df.select(
         F.col(key).alias("parent_id"), F.lit("").alias("path"), F.array().cast("array<int>").alias("ordinals"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_e")

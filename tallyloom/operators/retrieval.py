@@ -72,13 +72,19 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> Data
 
     Queries without a hit score 0; queries without relevant rows are left out.
     """
-    hits = ranked.filter(F.col("rank") <= k).join(relevant.withColumn("rel", F.lit(1.0)), ["query_id", "id"], "left").na.fill(0.0, ["rel"])
+    hits = ranked.join(relevant.withColumn("rel", F.lit(1.0)), ["query_id", "id"], "left").na.fill(0.0, ["rel"])
+    return graded_metrics(hits, relevant.groupBy("query_id").agg(F.count("*").alias("m")), k)
+
+
+def graded_metrics(hits: DataFrame, totals: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, ndcg, ap, recall, precision, mrr) at k, of hits (query_id, id, rank, rel: 1.0 or 0.0), where ``totals``
+    (query_id, m) says how many relevant rows a query has in all."""
+    hits = hits.filter(F.col("rank") <= k)
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = hits.withColumn("seen", F.sum("rel").over(w))
     got = run.groupBy("query_id").agg(
         F.sum(F.col("rel") / F.log2(F.col("rank") + 1)).alias("dcg"), F.sum(F.col("rel") * F.col("seen") / F.col("rank")).alias("aps"), F.sum("rel").alias("n"), F.max(F.col("rel") / F.col("rank")).alias("mrr")
     )
-    totals = relevant.groupBy("query_id").agg(F.count("*").alias("m"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("m"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return totals.join(got, "query_id", "left").select(

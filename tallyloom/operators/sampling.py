@@ -36,7 +36,9 @@ def _numbered(df: DataFrame, order: str) -> DataFrame:
 def first_per_group(df: DataFrame, group: str, order: list[str], n: int, default: str = "default") -> DataFrame:
     """The first n rows of each group, renumbered from 0; null groups are called ``default``."""
     g = df.withColumn(group, F.coalesce(group, F.lit(default)))
-    return g.withColumn("id", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).filter(F.col("id") < n)
+    # the filter is on the plain row number, so that each task keeps n rows of a group before the shuffle
+    ranked = g.withColumn("id", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("id") <= n)
+    return ranked.withColumn("id", F.col("id") - 1)
 
 
 def quotas(sizes: DataFrame, count: int, how: str) -> DataFrame:
@@ -65,7 +67,11 @@ def sampled(df: DataFrame, wanted: DataFrame, dataset: str, key: str, seed: int
 
 def picks(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """Near, middle and far rows of each group: ranks 0, n/2 and n-1, each row once, as (``pick``)."""
-    w = Window.partitionBy(group)
-    r = df.withColumns({"_r": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
+    from tallyloom.operators.prefix import running_sum
+
+    # ranks by ranges, so that a group that holds most rows isn't one task
+    r = running_sum(df.withColumn("_one", F.lit(1).cast("bigint")), [group], order, "_one", "_r").drop("_one")
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_g")
+    r = r.join(sizes, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("_r", F.col("_r") - 1)
     pick = F.when(F.col("_r") == 0, "near").when(F.col("_r") == F.floor(F.col("_n") / 2), "middle").when(F.col("_r") == F.col("_n") - 1, "far")
-    return r.withColumn("pick", pick).filter("pick is not null").drop("_r", "_n")
+    return r.withColumn("pick", pick).filter("pick is not null").drop("_r", "_n", "_g")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import answers, scoring
 from tallyloom.operators import aggregate
 from tallyloom.plans.registry import Catalogue, table
+from tallyloom.plans.scores import VERDICT
 
 catalogue = Catalogue()
 
@@ -28,7 +29,7 @@ def m31(spark: SparkSession, folder: str) -> DataFrame:
 
 @catalogue.add("m35_plain_text")
 def m35(spark: SparkSession, folder: str) -> DataFrame:
-    return _reviews(spark, folder).filter("p is not null").select("review_id", answers.arrow(answers.plain, "string")(F.col("p")).alias("plain"))
+    return _reviews(spark, folder).filter("p is not null").select("review_id", answers.plain(F.col("p")).alias("plain"))
 
 
 @catalogue.add("m37_corpus_bleu")
@@ -45,11 +46,12 @@ def m48(spark: SparkSession, folder: str) -> DataFrame:
 
 @catalogue.add(
     "m22_listed_answer",
-    "SELECT review_id, CAST(json_valid(p) AND p LIKE '{%' AND list_contains(list_transform(CAST(json_extract(p, '$.candidates') AS VARCHAR[]), lambda x: lower(x)), lower(p ->> '$.answer')) AS DOUBLE) AS score FROM (SELECT review_id, sample_score.score.prediction AS p FROM reviews) WHERE p LIKE '{\"answer\"%' AND json_valid(p)",
+    """SELECT review_id, coalesce(CAST(list_contains(list_transform(TRY_CAST(json_extract(j, '$.candidates') AS VARCHAR[]), lambda x: lower(x)), lower(j ->> '$.answer')) AS DOUBLE), 0.0) AS score
+       FROM (SELECT review_id, CASE WHEN json_valid(p) AND p LIKE '{%' THEN p END AS j FROM (SELECT review_id, sample_score.score.prediction AS p FROM reviews))""",
 )
 def m22(spark: SparkSession, folder: str) -> DataFrame:
-    r = _reviews(spark, folder).filter(F.col("p").startswith('{"answer"') & F.try_parse_json("p").isNotNull())
-    j = F.from_json("p", "answer string, candidates array<string>")
+    r = _reviews(spark, folder)
+    j = F.from_json(F.when(F.col("p").startswith("{") & F.try_parse_json("p").isNotNull(), F.col("p")), "answer string, candidates array<string>")
     return r.select("review_id", F.coalesce(F.array_contains(F.transform(j["candidates"], F.lower), F.lower(j["answer"])), F.lit(False)).cast("double").alias("score"))
 
 
@@ -129,20 +131,20 @@ def a55(spark: SparkSession, folder: str) -> DataFrame:
 
 @catalogue.add(
     "m71_judge_merge",
-    """WITH j AS (SELECT sample_key, stage, judge_key, max(upper(raw_judge_response)) AS v FROM audit_fulltask_caches WHERE upper(raw_judge_response) IN ('YES', 'NO') GROUP BY ALL)
+    f"""WITH j AS (SELECT sample_key, stage, judge_key, max({VERDICT}) AS v FROM audit_fulltask_caches WHERE {VERDICT} IS NOT NULL GROUP BY ALL)
        SELECT sample_key, stage, bool_and(v = 'YES') AS all_yes, avg(CASE WHEN v = 'YES' THEN 1.0 ELSE 0 END) AS share, count(*) AS n FROM j GROUP BY ALL""",
 )
 def m71(spark: SparkSession, folder: str) -> DataFrame:
-    v = table(spark, folder, "audit_fulltask_caches").select("sample_key", "stage", "judge_key", F.upper("raw_judge_response").alias("v")).filter(F.col("v").isin("YES", "NO"))
+    v = table(spark, folder, "audit_fulltask_caches").select("sample_key", "stage", "judge_key", scoring.verdict(F.col("raw_judge_response")).alias("v")).filter("v is not null")
     j = v.groupBy("sample_key", "stage", "judge_key").agg(F.max("v").alias("v"))
     yes = F.col("v") == "YES"
     return j.groupBy("sample_key", "stage").agg(F.bool_and(yes).alias("all_yes"), F.avg(yes.cast("double")).alias("share"), F.count("*").alias("n"))
 
 
-@catalogue.add("m74_judge_recall", "SELECT review_id, CASE WHEN em > 0.99 THEN em ELSE coalesce(greatest(0.0, least(1.0, TRY_CAST(target AS DOUBLE))), 0) END AS score FROM (SELECT review_id, target, coalesce(lower(trim(sample_score.score.extracted_prediction)) = lower(trim(target)), false)::DOUBLE AS em FROM reviews)")
+@catalogue.add("m74_judge_recall", "SELECT review_id, CASE WHEN em > 0.99 THEN em ELSE greatest(0.0, least(1.0, coalesce(TRY_CAST(target AS DOUBLE), 0))) END AS score FROM (SELECT review_id, target, coalesce(lower(trim(sample_score.score.extracted_prediction)) = lower(trim(target)), false)::DOUBLE AS em FROM reviews)")
 def m74(spark: SparkSession, folder: str) -> DataFrame:
     rule = scoring.exact_match(F.col("e"), F.col("target"))
-    judge = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("target").try_cast("double"))), F.lit(0.0))
+    judge = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("target").try_cast("double"), F.lit(0.0))))
     return _reviews(spark, folder).select("review_id", F.when(rule > 0.99, rule).otherwise(judge).alias("score"))
 
 

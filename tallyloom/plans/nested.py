@@ -42,7 +42,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 @catalogue.add(
     "p5_subsets",
-    f"SELECT report_id AS parent_id, 'metrics[' || i || '].categories[' || j || '].subsets[' || k || ']' AS path, s.name AS name, s.score AS score, s.num AS num FROM ({_SUBSETS_SQL}) WHERE s IS NOT NULL",
+    f"""SELECT report_id AS parent_id, 'metrics[' || i || '].categories[' || j || '].subsets[' || k || ']' AS path,
+        report_id || ':metrics[' || i || '].categories[' || j || '].subsets[' || k || ']' AS row_key, report_id || ':metrics[' || i || '].categories[' || j || ']' AS parent_key, s.name AS name, s.score AS score, s.num AS num FROM ({_SUBSETS_SQL}) WHERE s IS NOT NULL""",
 )
 def p5_subsets(spark: SparkSession, folder: str) -> DataFrame:
     return nested.report_tables(table(spark, folder, "reports"))["reports.metrics.categories.subsets"].drop("ordinals")

@@ -10,6 +10,10 @@ from tallyloom.plans.registry import Catalogue, table
 
 catalogue = Catalogue()
 
+_WORD = "lower(regexp_extract(raw_judge_response, '(?i)(?:^|[^a-z0-9_])(yes|no|true|false)(?:[^a-z0-9_]|$)', 1))"
+#: The SQL of scoring.verdict().
+VERDICT = f"CASE WHEN {_WORD} IN ('yes', 'true') THEN 'YES' WHEN {_WORD} IN ('no', 'false') THEN 'NO' END"
+
 _PRED = "sample_score.score.prediction"
 
 
@@ -69,7 +73,7 @@ def proj15(spark: SparkSession, folder: str) -> DataFrame:
 @catalogue.add("proj18_markdown", "SELECT rec_id, md5(array_to_string(list_transform(messages, lambda m: '**' || upper(m.role[1]) || m.role[2:] || '**: ' || coalesce(m.content, '')), chr(10) || chr(10))) AS markdown FROM predictions WHERE messages IS NOT NULL")
 def proj18(spark: SparkSession, folder: str) -> DataFrame:
     both = F.arrays_zip(F.col("messages.role").alias("role"), F.col("messages.content").alias("content"))
-    line = lambda m: F.concat(F.lit("**"), F.upper(F.substring(m["role"], 1, 1)), F.substring(m["role"], 2, 100), F.lit("**: "), F.coalesce(m["content"], F.lit("")))
+    line = lambda m: F.concat(F.lit("**"), F.upper(F.substring(m["role"], 1, 1)), F.substr(m["role"], F.lit(2)), F.lit("**: "), F.coalesce(m["content"], F.lit("")))
     return table(spark, folder, "predictions").filter("messages is not null").select("rec_id", F.md5(F.array_join(F.transform(both, line), "\n\n")).alias("markdown"))
 
 
@@ -166,7 +170,7 @@ def m21(spark: SparkSession, folder: str) -> DataFrame:
     return _reviews(spark, folder).filter("p is not null").select("review_id", text.tagged_answer(F.col("p")).alias("answer"))
 
 
-_WORDS = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^a-z0-9]+'), lambda w: w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({}, '')), '([㐀-鿿])', ' \1 ', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w <> '')"
 
 
 @catalogue.add("m26_elaboration", f"SELECT review_id, len(list_filter({_WORDS.format('p')}, lambda w: w NOT IN ('the', 'a', 'an', 'of', 'to', 'and', 'in', 'it', 'is'))) AS n_words FROM {_R}")
@@ -192,6 +196,23 @@ def m38(spark: SparkSession, folder: str) -> DataFrame:
     return _reviews(spark, folder).select("review_id", scoring.rouge_n(F.col("p"), F.col("input")).alias("r")).select("review_id", "r.*")
 
 
+@catalogue.add(
+    "m38_rouge_2_blanks",
+    f"""WITH t AS (SELECT review_id, list_filter(regexp_split_to_array(lower(coalesce(p, '')), '\\s+'), lambda w: w <> '') AS p, list_filter(regexp_split_to_array(lower(coalesce(input, '')), '\\s+'), lambda w: w <> '') AS r FROM {_R}),
+        x AS (SELECT review_id, list_transform(p[2:], lambda w, i: p[i] || ' ' || w) AS a, list_transform(r[2:], lambda w, i: r[i] || ' ' || w) AS b FROM t),
+        c AS (SELECT review_id, g, count(*) FILTER (s = 'a') AS n, count(*) FILTER (s = 'b') AS m FROM (SELECT review_id, 'a' AS s, unnest(a) AS g FROM x UNION ALL SELECT review_id, 'b', unnest(b) FROM x) GROUP BY ALL),
+        o AS (SELECT review_id, sum(least(n, m))::DOUBLE AS s, sum(n) AS n, sum(m) AS m FROM c GROUP BY ALL)
+        SELECT review_id, CASE WHEN s > 0 THEN 2 * s / (n + m) ELSE 0 END AS f1 FROM x LEFT JOIN o USING (review_id)""",
+)
+def m38_2(spark: SparkSession, folder: str) -> DataFrame:
+    return _reviews(spark, folder).select("review_id", scoring.rouge_n(F.col("p"), F.col("input"), 2, "blanks")["f1"].alias("f1"))
+
+
+@catalogue.add("m40_rouge_l_sum")
+def m40(spark: SparkSession, folder: str) -> DataFrame:
+    return _reviews(spark, folder).select("review_id", scoring.rouge_l_sum(F.col("p"), F.col("input")).alias("f1"))
+
+
 @catalogue.add(
     "m36_bleu_1",
     f"""WITH x AS (SELECT review_id, {_WORDS.format("p")} AS a, {_WORDS.format("input")} AS b FROM {_R}), s AS (SELECT review_id, coalesce({_BAG.format(p="a", r="b")}, 0)::DOUBLE AS s, len(a) AS n, len(b) AS m FROM x)
@@ -224,10 +245,10 @@ def m41(spark: SparkSession, folder: str) -> DataFrame:
 @catalogue.add(
     "m43_chosen_letter",
     f"""SELECT review_id, coalesce(nullif(upper(regexp_extract(p, '(?mi)^\\s*ANSWER\\s*:\\s*([A-D])(?:[^A-Za-z0-9]|$)', 1)), ''), nullif(upper(regexp_extract(p, '(?i)ANSWER\\s*:\\s*([A-D])(?:[^A-Za-z0-9]|$)', 1)), ''),
-        CASE WHEN regexp_matches(p, '^[A-D]\\s*$') THEN p[1] END) AS letter FROM {_R} WHERE p IS NOT NULL AND length(p) < 12""",
+        list_extract(regexp_extract_all('  ' || regexp_replace(p, '[^A-Za-z]', '  ', 'g') || '  ', ' ([A-D]) ', 1), -1)) AS letter FROM {_R} WHERE p IS NOT NULL""",
 )
 def m43(spark: SparkSession, folder: str) -> DataFrame:
-    return _reviews(spark, folder).filter("p is not null and char_length(p) < 12").select("review_id", text.chosen_letter(F.col("p")).alias("letter"))
+    return _reviews(spark, folder).filter("p is not null").select("review_id", text.chosen_letter(F.col("p")).alias("letter"))
 
 
 @catalogue.add("m45_letters", "SELECT p_partkey, CASE WHEN p_size < 26 THEN chr(65 + p_size) ELSE CAST(p_size - 25 AS VARCHAR) END AS letter FROM part")
@@ -292,13 +313,13 @@ def m68(spark: SparkSession, folder: str) -> DataFrame:
 
 @catalogue.add(
     "m70_gated_stages",
-    """WITH v AS (SELECT sample_key, stage, upper(raw_judge_response) AS v FROM audit_fulltask_caches WHERE status = 'success' AND upper(raw_judge_response) IN ('YES', 'NO')),
+    f"""WITH v AS (SELECT sample_key, stage, {VERDICT} AS v FROM audit_fulltask_caches WHERE status = 'success' AND {VERDICT} IS NOT NULL),
        s AS (SELECT sample_key, bool_and(v = 'YES') FILTER (stage = 'correctness') AS correct, count(*) FILTER (stage = 'coarse_novelty' AND v = 'YES') * 2 > count(*) FILTER (stage = 'coarse_novelty') AS novel,
              count(*) FILTER (stage = 'fine_novelty' AND v = 'YES') * 2 > count(*) FILTER (stage = 'fine_novelty') AS fine FROM v GROUP BY ALL)
        SELECT sample_key, coalesce(correct, false) AS correct, coalesce(correct, false) AND novel AS novel, coalesce(correct, false) AND novel AND fine AS fine FROM s""",
 )
 def m70(spark: SparkSession, folder: str) -> DataFrame:
-    v = table(spark, folder, "audit_fulltask_caches").filter("status = 'success'").select("sample_key", "stage", F.upper("raw_judge_response").alias("v")).filter(F.col("v").isin("YES", "NO"))
+    v = table(spark, folder, "audit_fulltask_caches").filter("status = 'success'").select("sample_key", "stage", scoring.verdict(F.col("raw_judge_response")).alias("v")).filter("v is not null")
     yes = F.col("v") == "YES"
     most = lambda stage: F.count_if((F.col("stage") == stage) & yes) * 2 > F.count_if(F.col("stage") == stage)
     s = v.groupBy("sample_key").agg(F.bool_and(F.when(F.col("stage") == "correctness", yes)).alias("c"), most("coarse_novelty").alias("n"), most("fine_novelty").alias("f"))
@@ -306,9 +327,9 @@ def m70(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("sample_key", c.alias("correct"), (c & F.col("n")).alias("novel"), (c & F.col("n") & F.col("f")).alias("fine"))
 
 
-@catalogue.add("m73_judged_score", f"SELECT review_id, greatest(0.0, least(1.0, CAST(list_extract(regexp_extract_all(p, '(-?\\d+(?:\\.\\d+)?)', 1), -1) AS DOUBLE))) AS score FROM {_R} WHERE regexp_matches(p, '\\d')")
+@catalogue.add("m73_judged_score", f"SELECT review_id, greatest(0.0, least(1.0, coalesce(CAST(list_extract(regexp_extract_all(p, '(-?\\d+(?:\\.\\d+)?)', 1), -1) AS DOUBLE), 0.0))) AS score FROM {_R}")
 def m73(spark: SparkSession, folder: str) -> DataFrame:
-    return _reviews(spark, folder).filter(F.regexp_like("p", F.lit(r"\d"))).select("review_id", scoring.judged_score(F.col("p")).alias("score"))
+    return _reviews(spark, folder).select("review_id", F.coalesce(scoring.judged_score(F.col("p")), F.lit(0.0)).alias("score"))
 
 
 @catalogue.add(
@@ -334,9 +355,9 @@ def m78(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("l_orderkey", scoring.pass_at_k(F.col("n"), F.col("c"), F.lit(2)).alias("pass_at_2"))
 
 
-@catalogue.add("m86_distinct_words", f"SELECT review_id, array_to_string(list_sort(list_distinct({_WORDS.format('p')}))[1:10], ' ') AS words FROM {_R} WHERE p IS NOT NULL")
+@catalogue.add("m86_distinct_words", f"SELECT review_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words FROM (SELECT review_id, {_WORDS.format('p')} AS w, p FROM {_R}) WHERE p IS NOT NULL")
 def m86(spark: SparkSession, folder: str) -> DataFrame:
-    return _reviews(spark, folder).filter("p is not null").select("review_id", F.array_join(F.slice(F.array_sort(F.array_distinct(text.words(F.col("p")))), 1, 10), " ").alias("words"))
+    return _reviews(spark, folder).filter("p is not null").select("review_id", F.array_join(F.array_distinct(text.words(F.col("p"))), " ").alias("words"))
 
 
 @catalogue.add("m87_failure_modes", f"SELECT review_id, regexp_matches(p, '(?i)as an ai') AS disclaimer, regexp_matches(p, '(?i)sorry|cannot') AS apology, length(p) < 5 AS short FROM {_R} WHERE p IS NOT NULL")

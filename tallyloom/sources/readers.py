@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,14 +41,30 @@ def read_json_array(spark: SparkSession, path: str, field: str | None = None, sc
 
 
 def read_concatenated_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects one after another in a text, with or without line ends, also with literal ``\\n`` between them.
+    """Objects one after another in a text, with or without line ends, over several lines, also with literal ``\\n``
+    between them.
 
-    Each line is cut between ``}`` and ``{``; pieces that don't parse are dropped.
+    A file is decoded as one stream, object by object; where none can be decoded, reading goes on at the next brace. A
+    file is read as a whole, so big data should come as JSON lines.
     """
-    lines = spark.read.text(path)
-    clean = F.regexp_replace("value", r"\}\s*(?:\\n)*\s*\{", "}\u0001{")
-    piece = lines.select(F.explode(F.split(clean, "\u0001")).alias("j")).select(F.trim(F.regexp_replace("j", r"^(?:\\n|\s)+|(?:\\n|\s)+$", "")).alias("j"))
-    return piece.filter(F.try_parse_json("j").isNotNull()).select(F.from_json("j", schema).alias("x")).select("x.*")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = json.JSONDecoder()
+        for b in batches:
+            found = []
+            for t in b.column(0).to_pylist():
+                at = t.find("{")
+                while at >= 0:
+                    try:
+                        _, end = decoder.raw_decode(t, at)
+                        found.append(t[at:end])
+                    except json.JSONDecodeError:
+                        end = at + 1
+                    at = t.find("{", end)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["j"])
+
+    pieces = spark.read.text(path, wholetext=True).mapInArrow(split, "j string")
+    return pieces.select(F.from_json("j", schema).alias("x")).select("x.*")
 
 
 def read_subset(spark: SparkSession, folder: str, subset: str, split: str | None = None) -> DataFrame:

@@ -38,7 +38,15 @@ def test_spans_and_bags():
     assert A.bag_f1(["the cat", "dog"], ["dog", "a cat"]) == 1.0 and A.bag_f1(["12 men"], ["13 men"]) == 0.0 and A.bag_f1([], []) == 0.0
     assert A.greedy_distinct([[1, 0], [1, 0.1], [0, 1]]) == [0, 2]
     assert A.near_duplicate("Hold the door open", "hold door open!") and not A.near_duplicate("Hold a door", "Sell the car")
-    assert A.plain("Ｈéllo [noise] (aside), Wörld!") == "héllo wörld"
+    for a, b, same in [("hold door", "hold door open with a brick wedge outside", False), ("!!", "??", False), ("Prop doors open", "prop the door open", True), ("stir paint", "stir thick paint", True), ("paint", "paint walls", False), ("berries", "the berry", True)]:
+        assert A.near_duplicate(a, b) is same, (a, b)
+    assert A.new_ideas(["Stir paint", "stir the paints", " ", "Dig a hole"], ["dig holes"]) == ["Stir paint"] and A.new_ideas(None) == []
+    assert A.bag_f1(["7"], ["7.0"]) == 1.0 and A.bag_f1(["u.s. army"], ["us army"]) == 1.0
+
+
+def test_plain(spark):
+    df = spark.createDataFrame([("Ｈéllo [noise] (aside), Wörld!",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(A.plain(F.col("t"))).collect()] == ["héllo wörld", None, ""]
 
 
 def test_columns(spark):

@@ -147,7 +147,7 @@ def test_part_fields(spark):
     rows = [(1, [("user", "plain words"), None, ("assistant", '[{"type":"text","text":"hi","refusal":false},null,{"type":"data","data":{"k":8,"tags":["x",null]},"signature":null}]')]), (2, [("user", '["a", "b"]'), ("user", '[{"type":"x","n":1,"Text":"T"}, {"type":"y","n":"s","data":{"k":9}}]')]), (3, [("user", "")]), (4, None)]
     df = spark.createDataFrame(rows, "rec_id bigint, messages array<struct<role:string,content:string>>").withColumn("model_output", F.expr("named_struct('usage', named_struct('input_tokens', 1L))"))
     t = nested.prediction_tables(df)
-    got = {(r["parent_id"], r["path"]): {k: v for k, v in r.asDict().items() if v is not None and k not in ("parent_id", "path", "ordinals")} for r in t["predictions.messages.content"].collect()}
+    got = {(r["parent_id"], r["path"]): {k: v for k, v in r.asDict().items() if v is not None and k not in ("parent_id", "path", "ordinals", "row_key", "parent_key")} for r in t["predictions.messages.content"].collect()}
     assert got == {
         (1, "messages[0].content[0]"): {"text": "plain words"}, (1, "messages[2].content[0]"): {"type": "text", "text": "hi", "refusal": False}, (1, "messages[2].content[2]"): {"type": "data", "data_k": 8},
         (2, "messages[0].content[0]"): {"text": '["a", "b"]'}, (2, "messages[1].content[0]"): {"type": "x", "n": "1", "Text_": "T"}, (2, "messages[1].content[1]"): {"type": "y", "n": "s", "data_k": 9},
@@ -200,6 +200,8 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.read_json_array(spark, str(tmp_path / "c.json"), "data").count() == 2
     (tmp_path / "d.txt").write_text('{"a": 1}{"a": 2}\\n{"a": 3}\n\n{"a": 4} {"a":\n')
     assert sorted(r["a"] for r in readers.read_concatenated_json(spark, str(tmp_path / "d.txt"), "a int").collect()) == [1, 2, 3, 4]
+    (tmp_path / "e.txt").write_text('{\n  "a": 5,\n  "b": "x} {y"\n}\n{"a": 6}{bad{"a": 7}')
+    assert sorted((r["a"], r["b"]) for r in readers.read_concatenated_json(spark, str(tmp_path / "e.txt"), "a int, b string").na.fill("").collect()) == [(5, "x} {y"), (6, ""), (7, "")]
     run = tmp_path / "run7" / "reports" / "m"
     run.mkdir(parents=True)
     (run / "x.json").write_text('{"model_name": "m", "dataset_name": "d", "score": 0.5}')
@@ -208,7 +210,7 @@ def test_readers_and_writers(spark, tmp_path):
     rows = spark.createDataFrame([("m", "d", "acc", "c", "s1", 1.0, 1), ("m", "d", "acc", "c", "s2", 0.0, 3)], "model string, dataset string, metric string, category string, subset string, score double, num int")
     assert json.loads(writers.report_trees(rows).first()["report"])["metrics"][0]["score"] == 0.25
     writers.write_csv(rows.select("model", F.array("num").alias("n")), str(tmp_path / "out"))
-    assert readers.read_csv(spark, str(tmp_path / "out")).first()["n"] == "[1]"
+    assert sorted(r["n"] for r in readers.read_csv(spark, str(tmp_path / "out")).collect()) == ["[1]", "[3]"]
     writers.append_cache(rows, str(tmp_path / "cache"), ["dataset"])
     writers.append_cache(rows, str(tmp_path / "cache"), ["dataset"])
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 4
@@ -228,3 +230,12 @@ def test_rest_needs_no_llm():
     for p in pathlib.Path(__file__).parent.parent.joinpath("tallyloom").rglob("*.py"):
         if "llm" not in p.parts:
             assert "tallyloom.llm" not in p.read_text(), p
+
+
+def test_keys_and_maps_of_nested_records(spark):
+    df = spark.createDataFrame([(1, [{"name": "m", "score": {"b": 2.0, "a": 1.0}}], "x"), (2, None, None)], "id int, items array<struct<name:string,score:map<string,double>>>, row_key string")
+    t = nested.relational(df, "id", "r")
+    assert set(t) == {"r", "r.items", "r.items.score"}
+    assert {(r["row_key"], r["parent_key"], r["row_key_"]) for r in t["r"].collect()} == {("1:", None, "x"), ("2:", None, None)}
+    assert [(r["row_key"], r["parent_key"], r["name"]) for r in t["r.items"].collect()] == [("1:items[0]", "1:", "m")]
+    assert [(r["parent_key"], r["path"], r["key"], r["value"]) for r in t["r.items.score"].orderBy("path").collect()] == [("1:items[0]", "items[0].score[0]", "a", 1.0), ("1:items[0]", "items[0].score[1]", "b", 2.0)]
