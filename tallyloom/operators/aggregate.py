@@ -6,6 +6,7 @@ anything is joined or exploded, so a hot task or group costs no more than its sh
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -183,3 +184,28 @@ def top_share_mean(df: DataFrame, by: list[str], value: str, share: float = 0.1)
     ranked = df.filter(F.col(value).isNotNull()).withColumns({"r": F.row_number().over(w.orderBy(F.col(value).desc())), "n": F.count("*").over(w)})
     keep = F.greatest(F.lit(1), F.ceil(F.col("n") * share))
     return ranked.filter(F.col("r") <= keep).groupBy(*by).agg(F.avg(value).alias("score"), F.count("*").alias("n"))
+
+
+def bootstrap_stderr(df: DataFrame, by: list[str], value: str, key: str, rounds: int = 100, seed: int = 42) -> DataFrame:
+    """(*by, stderr, n): the standard error of the mean by Poisson bootstrap.
+
+    A row's weight in a round follows from hashes of its key, so a round needs no resampling and all rounds are sums in
+    one pass, combined before the shuffle. Null values don't count; one row alone has no error and gives 0.
+    """
+    u = lambda b: (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(b)), F.lit(1_000_003)) + 0.5) / 1_000_003
+    steps, p, total = [], math.exp(-1.0), 0.0
+    for i in range(9):  # the Poisson distribution of mean 1; nine and more are one in a million
+        total += p
+        steps.append((i, total))
+        p /= i + 1
+    def weight(b: int) -> Column:  # noqa: E306
+        x = u(b)
+        w = F.lit(9)
+        for i, t in reversed(steps):
+            w = F.when(x < t, i).otherwise(w)
+        return w
+
+    kept = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda b: weight(b)).alias("_w"))
+    # positions of an array are keys of the second sum: rounds rows a group leave each task
+    each = kept.select(*by, "_v", F.posexplode("_w").alias("_b", "_n")).groupBy(*by, "_b").agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") * F.col("_v")).alias("_s"), F.count("*").alias("_rows"))
+    return each.groupBy(*by).agg(F.coalesce(F.stddev(F.try_divide("_s", "_m")), F.lit(0.0)).alias("stderr"), F.max("_rows").alias("n"))

@@ -75,3 +75,34 @@ def picks(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     r = r.join(sizes, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("_r", F.col("_r") - 1)
     pick = F.when(F.col("_r") == 0, "near").when(F.col("_r") == F.floor(F.col("_n") / 2), "middle").when(F.col("_r") == F.col("_n") - 1, "far")
     return r.withColumn("pick", pick).filter("pick is not null").drop("_r", "_n", "_g")
+
+
+def page(df: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
+    """Page ``number`` (from 1) of ``size`` rows in an order, with ``place`` counted from 1; ranks by ranges, not one task."""
+    from tallyloom.operators.prefix import running_sum
+
+    if number < 1 or size < 1:
+        raise ValueError("pages and their sizes count from 1")
+    ranked = running_sum(df.withColumn("_one", F.lit(1).cast("bigint")), [], order, "_one", "place").drop("_one")
+    return ranked.filter(F.col("place").between((number - 1) * size + 1, number * size))
+
+
+def flat_weights(tree: dict, path: str = "", share: float = 1.0) -> list[tuple[str, str, float]]:
+    """(path, dataset, weight) of a nested collection, whose nodes have a ``weight`` and a ``dataset`` or ``parts``: weights
+    are shares among siblings, multiplied down to the leaves. For configurations, so on the driver."""
+    if "dataset" in tree:
+        return [(path, tree["dataset"], share)]
+    parts = tree.get("parts", [])
+    total = sum(p["weight"] for p in parts)
+    if parts and total <= 0:
+        raise ValueError("weights must sum to more than 0")
+    return [leaf for p in parts for leaf in flat_weights(p, "/".join(x for x in (path, p.get("name", "")) if x), share * p["weight"] / total)]
+
+
+def of_runs(df: DataFrame, runs: list[str], column: str = "run_dir") -> DataFrame:
+    """The rows of the named runs, whose folder is the name or ends in it."""
+    c = F.col(column)
+    keep = c.isin(runs)
+    for r in runs:
+        keep = keep | c.endswith(f"/{r}")
+    return df.filter(keep)

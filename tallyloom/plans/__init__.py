@@ -6,7 +6,7 @@ import importlib
 
 from tallyloom.plans.registry import Catalogue
 
-MODULES = ["nested", "aggregates", "scores", "relational", "answers", "streams"]
+MODULES = ["nested", "aggregates", "scores", "relational", "answers", "tasks", "streams"]
 
 
 def catalogues() -> list[Catalogue]:
