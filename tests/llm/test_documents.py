@@ -157,3 +157,10 @@ def test_many_spans_in_one_text():
         took.append(time.perf_counter() - began)
         assert len(found) == 2 * times
     assert took[1] < 24 * took[0]
+
+
+def test_pieces_miss_no_street():
+    """What the address patterns find has one of the pieces that are looked for first."""
+    for i, a in [(0, "12 Elm Grove, Leeds LS1 4AB"), (0, "7 W. Copper St"), (1, "P.O. Box 12"), (2, "Calle Mayor 3"), (2, "Avda. del Sur 14"), (3, "12 bis rue des Lilas"), (4, "Lindenweg 14"), (4, "Am Alten Wehr 81"), (5, "9 oak st, upper tarrow"), (5, "9 oak st"), (6, "望海市中山路12号")]:
+        assert pii._ADDRESSES[i].search(a) and pii._STREETS[i].search(a), a
+        assert sum({bit for _, bit in pii._PIECES.iter(a + "\n")}) and any(bit >> i & 1 for _, bit in pii._PIECES.iter(a + "\n")), a
