@@ -50,7 +50,7 @@ def durable(df: DataFrame, label: str = "t") -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     Cuts the lineage, survives lost executors, and gives later joins a known size, so that Spark broadcasts
-    it only where it is small. The files go when the session's Python process ends.
+    it only where it is small. The files go with release(), or when the session's Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/durable/{label}-{uuid.uuid4().hex}"
@@ -59,8 +59,10 @@ def durable(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _clean() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Deletes what durable() wrote so far; for long sessions, once the results that read it are stored or collected."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -69,4 +71,4 @@ def _clean() -> None:
             pass
 
 
-atexit.register(_clean)
+atexit.register(release)

@@ -57,3 +57,15 @@ def test_bootstrap_pages_and_weights(spark):
 def test_verdict(spark):
     t = ["YES", "I say no.", "It is true", "nothing", "yesterday no", None, ""]
     assert [g[0] for g in values(spark, [(x,) for x in t], "t string", scoring.verdict(F.col("t")))] == ["YES", "NO", "YES", None, "NO", None, None]
+
+
+def test_release(spark):
+    from tallyloom import session
+
+    kept = session.durable(spark.range(3).toDF("id"), "r")
+    assert kept.count() == 3 and session._written
+    path = session._written[-1][1]
+    session.release()
+    import os
+
+    assert not session._written and not os.path.exists(path)
