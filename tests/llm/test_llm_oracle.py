@@ -12,4 +12,4 @@ def test_query(spark, name):
     if name in catalogue.sql:
         assert oracle.compare(spark, catalogue.run[name], catalogue.sql[name], folder) == ""
     else:
-        assert catalogue.run[name](spark, folder).count() >= 0
+        assert catalogue.run[name](spark, folder).count() > 0 or name == "p3_limits"  # the smallest table may have no limit
