@@ -212,7 +212,7 @@ def word_a_line(c: Column) -> Column:
 
 def last_is_first(c: Column) -> Column:
     """Each sentence begins with the word that ended the one before it."""
-    s = F.transform(F.filter(F.split(c, r"[.!?]+"), lambda x: text.stripped(x) != ""), text.words)
+    s = F.transform(F.filter(F.split(c, r"[.!?]+"), lambda x: text.stripped(x) != ""), lambda t: text.words(t))
     n = F.greatest(F.size(s) - 1, F.lit(0))
     return F.forall(F.zip_with(F.slice(s, 1, n), F.slice(s, 2, n), lambda a, b: F.try_element_at(a, F.lit(-1)) == F.get(b, F.lit(0))), lambda x: F.coalesce(x, F.lit(False)))
 
