@@ -14,6 +14,7 @@ _OPENERS = {"]": "[", ">": "<", ")": "("}
 _PLACEHOLDER = re.compile(r"(?i)^(?:none|null|nil|nan|n/?a|undefined|empty|todo|tbd|no answer|no response|\[?(?:invalid|empty|blank)\]?|[-–—_.…*#?!\"'“”‘’`~|/\\\s]*)$")
 _BARE_LABEL = re.compile(r"(?i)^[\W_]*(?:final\s+)?(?:answer|response|output|result|solution|assistant|antwort|respuesta|réponse|答案|回答)[\W_]*$")
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00A0, 0xAD], " ")
+_BLANK = "".join(map(chr, _INVISIBLE)) + " \t\r\n\f\v"
 _ENDS = ".!?。！？؟।"
 _CLOSERS = "\"'”’»›)]}*_`）】」』 \t"
 _LIST = re.compile(r"^\s*(?:[-*•+]|\d{1,3}[.)])\s+(?=\S)")
@@ -56,7 +57,7 @@ def is_empty(t: str) -> bool:
     """No answer: blank, markup only, a placeholder, or a bare label."""
     if len(t) > 120 and _PROSE.search(t):
         return False
-    t = t.translate(_INVISIBLE).strip()
+    t = (t if t.isascii() else t.translate(_INVISIBLE)).strip()
     if not t or _PLACEHOLDER.match(t) or _BARE_LABEL.match(t):
         return True
     bare = re.sub(r"(?s)```[\w-]*\s*```|\\boxed\{\s*\}|<[^<>]{1,30}>|</?[a-z]+/?>|[\[\]{}()*_#>\-`\"':：.\s]", "", t)
@@ -65,9 +66,9 @@ def is_empty(t: str) -> bool:
 
 def _open_json(t: str) -> bool | None:
     """Of a text that begins as JSON: whether it stops before its end; None if it is no JSON."""
-    if not re.match(r"\s*(?:\{\s*(?:\"|$)|\[\s*(?:[\[{\"\d]|null|$))", t):
-        return None
     s = t.strip()
+    if s[:1] not in ("{", "[") or not re.match(r"\s*(?:\{\s*(?:\"|$)|\[\s*(?:[\[{\"\d]|null|$))", t):
+        return None
     try:
         _, end = _decoder.raw_decode(s)
     except ValueError as e:
@@ -119,7 +120,7 @@ def ending(text: str) -> tuple[int, str, list[str]]:
     last word where a lone line without a stop may be a whole phrase, else ''. Of a list without full stops ``items``
     has the keys of all items but the last, which are known to be whole.
     """
-    t = text.rstrip("".join(map(chr, _INVISIBLE)) + " \t\r\n\f\v")
+    t = text.rstrip(_BLANK)
     if is_empty(t):
         return EMPTY, "", []
     if t[-1] == "�":
@@ -130,10 +131,10 @@ def ending(text: str) -> tuple[int, str, list[str]]:
     opened = _open_json(t)
     if opened is not None:
         return (CUT, "broken", []) if opened else (COMPLETE, "", [])
-    if len(_FENCE.findall(t)) % 2:
+    if ("```" in t or "~~~" in t) and len(_FENCE.findall(t)) % 2:
         return CUT, "broken", []
     low = t.lower()
-    for tag in {m.lower() for m in _TAG_OPEN.findall(t)}:
+    for tag in {m.lower() for m in _TAG_OPEN.findall(t)} if "<" in t else ():
         if low.rfind(f"<{tag}>") > low.rfind(f"</{tag}>"):
             return CUT, "broken", []
     angle, slash = t[max(0, t.rfind("<")) :], t[max(0, t.rfind("\\")) :]

@@ -113,10 +113,10 @@ def validated_cutoff(patterns: dict[str, int], model: Model, planted: dict[str,
         return cutoff(patterns, model.posterior)
     total = sum(patterns.values())
     grid = sorted({min(most, max(least, x)) for x in [*model.posterior.values(), least, most]})
-    scored = []
+    scored, found = [], {p: score(model, p) for p in planted}
     for low, high in zip([least, *grid], [*grid, most], strict=True):
         at = (low + high) / 2
-        recall = sum(n for p, n in planted.items() if score(model, p) >= at) / known
+        recall = sum(n for p, n in planted.items() if found[p] >= at) / known
         chosen = sum(n for p, n in patterns.items() if model.posterior[p] >= at) / total
         right = min(chosen, recall * model.prior)
         scored.append((round(2 * right / (chosen + model.prior), 4), high - low, at))

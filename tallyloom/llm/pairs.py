@@ -2,14 +2,15 @@
 
 Method: for each defect several noisy labelling functions vote, each on evidence of its own and abstaining where it has
 none, and an expectation-maximization label model (see labelmodel.py) turns their votes into posteriors. A pair keeps
-every defect whose posterior exceeds that defect's cutoff, validated on records with planted defects; where one label is
-wanted, the likeliest counts.
+every defect whose posterior exceeds that defect's cutoff, validated on defects planted in every sound pair; where one label
+is wanted, the likeliest counts.
 """
 
 from __future__ import annotations
 
 import bisect
 import difflib
+import functools
 import json
 import math
 import re
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,7 +105,7 @@ for _hint in (
 ):
     _HINTS.add_word(_hint, True)
 _HINTS.make_automaton()
-_SENTENCE = re.compile(r"(?<=[.!?。！？])[\"'”’)\]]*(?:\s+|(?=[一-鿿]))|\n+")
+_BREAK = re.compile(r"[.!?。！？][\"'”’)\]]*(?:\s+|(?=[一-鿿]))|\n+")  # from a sentence's stop on
 _LISTED = re.compile(r"^\s*(?:[-*•]|\d{1,3}[.)])\s+\S")
 _ROLE = re.compile(r"(?i)^\W*(?:user|human|prompt|question|input|instruction|usuario|utilisateur|benutzer|用户)\W*[:：]\W*|^[#*\s]*(?:user|human|prompt)[#*\s]*\n")
 _CJK = re.compile(r"[㐀-鿿]")
@@ -160,23 +162,25 @@ class Languages:
         for i, k in enumerate(self.order):
             for w in _STOP[k]:
                 stops.setdefault(w, []).append(i)
-        self.words: dict[str, tuple[tuple[int, ...], int, float]] = {}  # the languages it is a stop word of, the likeliest one, how much likelier
-        for w in by.keys() | stops.keys():
-            seen = by.get(w, [0] * len(self.order))
+        self.stops = {w: tuple(x) for w, x in stops.items()}  # the languages it is a stop word of
+        self.odds: dict[str, tuple[int, float]] = {}  # the likeliest language, how much likelier
+        for w, seen in by.items():
             logs = [math.log((n + 0.1) / (t + 0.1 * len(by))) if t else -math.inf for n, t in zip(seen, total, strict=True)]
             first, second = sorted(logs, reverse=True)[:2]
-            self.words[w] = (tuple(stops.get(w, ())), logs.index(first), first - second if any(seen) and second > -math.inf else 0.0)
+            if second > -math.inf and first > second:
+                self.odds[w] = (logs.index(first), first - second)
 
     def __call__(self, low: str, words: list[str]) -> tuple[str | None, str | None, str | None]:
         """Of a text in lower case and its words."""
         if not low.isascii() and (cjk := len(_CJK.findall(low))) >= 2 and cjk * 3 > len(re.findall(r"[a-zà-ÿ]", low)):
             return "zh", "zh", "zh"
-        hits, odds, known = [0] * 4, [0.0] * 4, 0
-        for stops, likely, odd in filter(None, map(self.words.get, words)):
+        hits, odds = [0] * 4, [0.0] * 4
+        for stops in filter(None, map(self.stops.get, words)):
             for i in stops:
                 hits[i] += 1
+        known = [*filter(None, map(self.odds.get, words))]
+        for likely, odd in known:
             odds[likely] += odd
-            known += odd > 0
         first, second = sorted(hits, reverse=True)[:2]
         by_stops = self.order[hits.index(first)] if first >= 2 and first > second else None
         marks = Counter(_LETTERS[c] for c in _MARKED.findall(low)) if not low.isascii() else {}
@@ -184,7 +188,7 @@ class Languages:
         if marks:
             k, n = marks.most_common(1)[0]
             by_letters = k if n >= 2 and sum(marks.values()) - n < n else None
-        return by_stops, by_letters, self.order[odds.index(max(odds))] if known >= 3 else None
+        return by_stops, by_letters, self.order[odds.index(max(odds))] if len(known) >= 3 else None
 
 
 _NAMES = ahocorasick.Automaton()
@@ -210,19 +214,23 @@ def _between(x: float, low: float, high: float) -> str:
     return "1" if x >= high else "0" if x <= low else "-"
 
 
-def _copied(pw: list[str], aw: list[str]) -> str:
-    """The votes on whether the answer's words are the prompt's."""
+def _copied(pw: list[str], aw: list[str], wanted: dict[str, int]) -> str:
+    """The votes on whether the answer's words are the prompt's, which ``wanted`` counts."""
     if not pw or not aw:
         return "------"
+    if pw == aw:
+        return "111111"
     p, a = "".join(pw), "".join(aw)
     times, over = divmod(len(a), len(p))
     same = times >= 1 and not over and a == p * times
-    wanted, used, left = Counter(pw), Counter(aw), len(aw)
-    shared = sum((wanted & used).values())
+    shared, left, open_ = 0, len(aw), dict(wanted)
+    for w in filter(open_.get, aw):
+        open_[w] -= 1
+        shared += 1
     whole = max(1, round(left / len(pw)))
     new = left - whole * shared  # no fewer than that
     if whole > 1 and 1 - new / left > 0.7:
-        new = left - sum(min(n, wanted[w] * whole) for w, n in used.items())
+        new = left - sum(min(n, wanted.get(w, 0) * whole) for w, n in Counter(aw).items())
     if 2 * shared < 0.8 * (len(pw) + len(aw)):  # the ratio can't be higher
         order = "0" if times < 2 else "-"
         run = None
@@ -241,19 +249,29 @@ def _refused(low: str) -> str:
     at = [end for end, _ in _HINTS.iter(low)]
     unable = declines = norms = useful = total = 0
     other = first = False  # whether the sentence at hand has something else to say, and whether the first one declines or is courteous
+    late = None  # that sentence, where nobody has asked yet
     start = 0
-    for m in [*_SENTENCE.finditer(low), None]:
-        begin, end = start, m.start() if m else len(low)
+    for m in [*_BREAK.finditer(low), None]:
+        begin, end = start, len(low) if m is None else m.start() + (low[m.start()] != "\n")
         start, s = m.end() if m else end, low[begin:end]
         if not s or s.isspace():
             continue
-        u = d = n = False
+        total += 1
         i = bisect.bisect_left(at, begin)
-        if i < len(at) and at[i] < end:
-            u, d, n = bool(_UNABLE.search(s)), bool(_DECLINES.search(s)), bool(_NORMS.search(s))
+        if i == len(at) or at[i] >= end:  # nothing of the lists: it is courteous or of use
+            late = s if useful and total > 1 else None
+            if late is None:
+                c = bool(_COURTESY.match(s))
+                first = c if total == 1 else first
+                other = not (c and len(s) <= 120 and not _LISTED.match(s))
+                useful += other
+            elif i == len(at) and total > 8 and not (unable or declines or norms):
+                break  # what follows changes no vote
+            continue
+        late = None
+        u, d, n = bool(_UNABLE.search(s)), bool(_DECLINES.search(s)), bool(_NORMS.search(s))
         talk = (u or n) and bool(_TALK.search(s))
         c = bool(_COURTESY.match(s))
-        total += 1
         if total == 1:
             first = u or d or n or c
         if not u and _LISTED.match(s):
@@ -266,6 +284,8 @@ def _refused(low: str) -> str:
         useful += other
     if not total:
         return "-------"
+    if late is not None:
+        other = not (len(late) <= 120 and _COURTESY.match(late) and not _LISTED.match(late))
     said = unable + declines + norms
     return (
         _vote(unable > 0) + _vote(declines > 0) + _vote(norms > 0) + _vote(not useful) + ("1" if total <= 3 else "-" if total <= 8 or not useful else "0")
@@ -273,6 +293,39 @@ def _refused(low: str) -> str:
     )
 
 
+class Asked:
+    """What the votes need of a prompt, whatever the answer."""
+
+    def __init__(self, prompt: str, languages: Languages) -> None:
+        self.own = own = _without_role(prompt).lower()
+        self.words = _UNITS.findall(own)
+        self.counts = Counter(self.words)
+        self.named = asked_languages(prompt)
+        self.spoken = languages(own, self.words)
+        self.known = {w for w in self.words if len(w) >= 4 or w >= "㐀"}
+
+
+def _spoken(own: str, words: list[str], languages: Languages) -> tuple[str | None, str | None, str | None]:
+    text = prose(own)
+    return languages(text, words if text is own else _UNITS.findall(text))
+
+
+def _emptiness(answer: str, extracted: str | None) -> str:
+    bare = _TAGS.sub("", answer) if "<" in answer or "`" in answer or "\\" in answer else answer
+    visible = bool(_ALNUM.search(bare))
+    placeholder = endings.is_empty(answer)
+    short = len(answer) < 40 and len(rest := _NOT_ALNUM.sub("", _LABELS.sub("", bare))) < 2 and not _CHOICE.fullmatch(rest)
+    return _vote(not visible) + _vote(placeholder) + _vote(short) + _vote(extracted is None or extracted.strip() in ("", "[invalid]"))
+
+
+def _differs(asked: Asked, mine: tuple[str | None, str | None, str | None], words: list[str], stated: str | None) -> str:
+    """The votes on whether an answer's languages and words aren't the prompt's."""
+    differs = ["0" if x in asked.named else "-" if x is None or y is None else _vote(x != y) for x, y in zip(mine, asked.spoken, strict=True)]
+    best = mine[2] or mine[0]
+    against = "0" if best in asked.named else "-" if stated not in _LANGUAGE_NAMES or best is None else _vote(stated != best)
+    return "".join(differs) + against + ("-" if len(words) < 6 or len(asked.known) < 3 else _vote(len(asked.known.intersection(words)) >= 2))
+
+
 def votes(prompt: str, prediction: str | None, extracted: str | None, stated: str | None, languages: Languages) -> dict[str, str]:
     """The pattern of each defect but truncated, whose functions need the corpus.
 
@@ -287,27 +340,19 @@ def votes(prompt: str, prediction: str | None, extracted: str | None, stated: st
     answer and prompt share. An answer in a language that the prompt asks for doesn't differ.
     Each function abstains where it has nothing to go by, as all do on a defect that needs an answer where there is none.
     """
+    return looked_at(Asked(prompt, languages), prediction, extracted, stated, languages)[0]
+
+
+def looked_at(asked: Asked, prediction: str | None, extracted: str | None, stated: str | None, languages: Languages) -> tuple[dict[str, str], tuple[str | None, str | None, str | None], list[str]]:
+    """The votes(), and the answer's languages and words."""
     answer = body(prediction)
-    bare = _TAGS.sub("", answer) if "<" in answer or "`" in answer or "\\" in answer else answer
-    visible = bool(_ALNUM.search(bare))
-    placeholder = endings.is_empty(answer)
-    short = len(answer) < 40 and len(rest := _NOT_ALNUM.sub("", _LABELS.sub("", bare))) < 2 and not _CHOICE.fullmatch(rest)
-    out = {"empty": _vote(not visible) + _vote(placeholder) + _vote(short) + _vote(extracted is None or extracted.strip() in ("", "[invalid]"))}
-    if placeholder or not visible:
-        return out | {"copied_input": "------", "refusal": "-------", "other_language": "-----"}
-    asked_of, own = _without_role(prompt).lower(), _without_role(answer).lower()
-    pw, aw = _UNITS.findall(asked_of), _UNITS.findall(own)
-    out["copied_input"] = _copied(pw, aw)
-    out["refusal"] = _refused(own)
-    text = prose(own)
-    asked = asked_languages(prompt)
-    mine, theirs = languages(text, aw if text is own else _UNITS.findall(text)), languages(asked_of, pw)
-    differs = ["0" if x in asked else "-" if x is None or y is None else _vote(x != y) for x, y in zip(mine, theirs, strict=True)]
-    best = mine[2] or mine[0]
-    against = "0" if best in asked else "-" if stated not in _LANGUAGE_NAMES or best is None else _vote(stated != best)
-    known = {w for w in pw if len(w) >= 4 or w >= "㐀"}
-    out["other_language"] = "".join(differs) + against + ("-" if len(aw) < 6 or len(known) < 3 else _vote(len(known.intersection(aw)) >= 2))
-    return out
+    empty = _emptiness(answer, extracted)
+    if "1" in empty[:2]:
+        return {"empty": empty, "copied_input": "------", "refusal": "-------", "other_language": "-----"}, (None, None, None), []
+    own = _without_role(answer).lower()
+    words = _UNITS.findall(own)
+    mine = _spoken(own, words, languages)
+    return {"empty": empty, "copied_input": _copied(asked.words, words, asked.counts), "refusal": _refused(own), "other_language": _differs(asked, mine, words, stated)}, mine, words
 
 
 def _stated(metadata: str | None) -> str | None:
@@ -329,97 +374,141 @@ _REFUSALS = {
 }
 
 
-def planted(key: int, prompt: str, answer: str, foreign: str | None, language: str | None) -> dict[str, str]:
-    """A sound pair's answer with each defect planted; which form of it, the key says."""
-    asked, n = _without_role(prompt), xxhash.xxh32_intdigest(str(key))
-    words = asked.split(" ")
-    copies = (asked.upper(), asked.lower(), f'"{asked}"', f"{asked}\n{asked}", " ".join(words[:-2] + words[-1:]), f"> {asked}", asked)
+_COPIES = (
+    str.upper, str.lower, lambda t: f'"{t}"', lambda t: f"{t}\n{t}", lambda t: " ".join((w := t.split(" "))[:-2] + w[-1:]), lambda t: f"> {t}", lambda t: t,
+)
+_INSIDE = re.compile(r"(?<=[^\W\d_])[^\W\d_]")
+
+
+@functools.cache
+def _fixed(defect: str, text: str) -> str:
+    """The votes on a planted text that is the same for all pairs."""
+    empty = _emptiness(body(text), None if defect == "empty" else text)
+    return empty if defect == "empty" else "-------" if "1" in empty[:2] else _refused(_without_role(body(text)).lower())
+
+
+def planted(key: int, prompt: str, answer: str, asked: Asked, foreign: tuple[tuple[str | None, str | None, str | None], list[str]] | None, language: str | None, stated: str | None) -> tuple[dict[str, str], str | None]:
+    """The votes on a sound pair's answer with each defect but truncated planted, and the truncated answer; which form
+    of a defect, the key says. ``foreign`` has the languages and words of an answer in another language."""
+    n = xxhash.xxh32_intdigest(str(key))
     said = _REFUSALS.get(language or "en", _REFUSALS["en"])
-    out = {"empty": _BLANKS[n % len(_BLANKS)], "copied_input": copies[n % len(copies)], "refusal": said[n % len(said)]}
-    inside = [i for i in range(len(answer) // 3, len(answer) - 1) if answer[i - 1].isalpha() and answer[i].isalpha()]
-    if inside:
-        out["truncated"] = answer[: inside[n % len(inside)]]
+    out = {"empty": _fixed("empty", _BLANKS[n % len(_BLANKS)]), "refusal": _fixed("refusal", said[n % len(said)])}
+    copy = body(text := _COPIES[n % len(_COPIES)](_without_role(prompt)))
+    own = _without_role(copy).lower()
+    words = asked.words if own == asked.own else _UNITS.findall(own)
+    out["copied_input"] = "------" if "1" in _emptiness(copy, text)[:2] else _copied(asked.words, words, asked.counts)
     if foreign:
-        out["other_language"] = foreign
-    return out
+        out["other_language"] = _differs(asked, *foreign, stated)
+    begin, end = len(answer) // 3, len(answer) - 1
+    inside = (_INSIDE.search(answer, begin + n % (end - begin), end) or _INSIDE.search(answer, begin, end)) if end > begin else None
+    return out, answer[: inside.start()] if inside and inside.start() else None
 
 
 _FIELDS = ("review_id bigint, plant string, h bigint, last string, empty string, copied_input string, refusal string, other_language string, no_stop string, unbalanced string, "
-           "code int, key string, items array<string>, text_chars int, text_utf8 int")
+           "code int, key string, items array<string>, text_chars int, text_utf8 int, n int")
 
 
-def word_counts(slim: DataFrame, labelled_rows: int) -> dict[tuple[str, str], int]:
-    """How many of about ``labelled_rows`` prompts with a stated language have a word, by (language, word).
+def word_counts(slim: DataFrame) -> dict[tuple[str, str], int]:
+    """How many of the prompts with a stated language have a word, by (language, word).
 
-    The sample is taken by hash and counted on the executors; words of one prompt only say nothing and are left out.
+    All prompts count, on the executors; words of one prompt only say nothing and are left out. What reaches the driver
+    is the vocabulary of the languages that have stop words.
     """
-    stated = slim.filter("metadata is not null and input is not null").select("review_id", "input", F.lower(F.get_json_object("metadata", "$.lang")).alias("lang")).filter("lang is not null")
-    every = max(1, math.ceil(stated.count() / labelled_rows))
-    some = stated.filter(F.pmod(F.xxhash64("review_id"), F.lit(every)) == 0)
-    words = some.select("lang", F.explode(F.array_distinct(F.split(F.lower("input"), r"[^\p{L}]+"))).alias("word")).filter("word <> ''")
+    stated = slim.filter("metadata is not null and input is not null").select("input", F.lower(F.get_json_object("metadata", "$.lang")).alias("lang")).filter(F.col("lang").isin(*_STOP))
+    words = stated.select("lang", F.explode(F.array_distinct(F.split(F.lower("input"), r"[^\p{L}]+"))).alias("word")).filter("word <> ''")
     counted = words.groupBy("lang", "word").agg(F.count("*").alias("n")).filter("n > 1")
     return {(r["lang"], r["word"]): r["n"] for r in counted.collect()}
 
 
-def inspected(reviews: DataFrame, labelled_rows: int = 4_000, planted_rows: int = 500) -> DataFrame:
-    """The votes and endings of every pair, and of pairs with planted defects (``plant`` names the defect).
+def inspected(reviews: DataFrame) -> DataFrame:
+    """The votes and endings of every pair, and those of the same pairs with planted defects (``plant`` names the defect).
 
-    The word model is fitted on about ``labelled_rows`` prompts whose metadata states a language, and defects are planted
-    in the sound ones of about ``planted_rows`` pairs; both samples are taken by hash.
+    The word model is fitted on all prompts whose metadata states a language. Every defect is planted in every sound pair,
+    another language only where the answer's is plain and one in another was read before it. Planted pairs of the same votes and ending are one row, ``n`` says of how many; their ids tell the rows apart only.
     """
     score = F.col("sample_score.score")
     slim = reviews.select("review_id", "input", score.getField("prediction").alias("prediction"), score.getField("extracted_prediction").alias("extracted"), F.col("sample_score.sample_metadata").alias("metadata"))
-    model = Languages(word_counts(slim, labelled_rows))
-    send = reviews.sparkSession.sparkContext.broadcast(model)
-    every = max(1, reviews.count() // planted_rows)
+    send = reviews.sparkSession.sparkContext.broadcast(Languages(word_counts(slim)))
     columns = [f.split(" ")[0] for f in _FIELDS.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 7, pa.int32(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), *[pa.string()] * 7, pa.int32(), pa.string(), pa.list_(pa.string()), *[pa.int32()] * 3]
 
-    def one(i: int, plant: str | None, prompt: str, prediction: str | None, extracted: str | None, stated: str | None) -> tuple:
-        v = votes(prompt, prediction, extracted, stated, send.value)
-        text = endings.parts(prediction)[0]
-        code, key, items = endings.ending(text) if v["empty"][1] == "0" else (endings.EMPTY, "", [])
+    def ended(text: str, gone: bool) -> tuple[str, str, int, str, list[str], int, int]:
+        """no_stop, unbalanced, code, key, items, text_chars, text_utf8."""
+        code, key, items = (endings.EMPTY, "", []) if gone else endings.ending(text)
         answer = text.rstrip()
         line = answer[answer.rfind("\n") + 1 :]
-        odd = [answer.count("```") % 2, answer.count("{") != answer.count("}"), answer.count("[") != answer.count("]"), answer.count('"') % 2]
-        paired = bool(odd[0] or odd[1] or odd[2] or odd[3]) if any(c in answer for c in '`{}[]"') else None
-        h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - 2**63
-        last = endings.words(line, 1, True)
-        return (i, plant, h, last, v["empty"], v["copied_input"], v["refusal"], v["other_language"], _vote(not endings._sentence_end(line)), _vote(paired), code, key, items, len(text), len(text.encode("utf-8", "replace")))
+        odd = answer.count("```") % 2 or answer.count("{") != answer.count("}") or answer.count("[") != answer.count("]") or answer.count('"') % 2
+        paired = bool(odd) if odd or "`" in answer or "{" in answer or "[" in answer or '"' in answer else None
+        return _vote(not endings._sentence_end(line)), _vote(paired), code, key, items, len(text), len(text) if text.isascii() else len(text.encode("utf-8", "replace"))
+
+    def last_word(text: str) -> str:
+        answer = text.rstrip()
+        for part in reversed(answer[answer.rfind("\n") + 1 :].split()):  # no word spans a blank
+            if word := endings.words(part, 1, True):
+                return word
+        return ""
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=columns)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, str] = {}  # the last longer answer of each language
+        languages, context = send.value, TaskContext.get()
+        seen: dict[str, tuple] = {}  # the languages and words of the last longer answer in each language
+        made: Counter[tuple] = Counter()
+        names = (context.partitionId() << 33) if context else 0
+
+        def counted() -> pa.RecordBatch:
+            nonlocal names
+            rows = []
+            for (d, vote, *rest), n in made.items():
+                names += 1
+                own = [vote if d == x else None for x in ("empty", "copied_input", "refusal", "other_language")]
+                no_stop, unbalanced, code, key, chars, utf8 = rest or (None, None, endings.EMPTY, "", 0, 0)
+                rows.append((names, d, None, None, *own, no_stop, unbalanced, code, key, [], chars, utf8, n))
+            made.clear()
+            return packed(rows)
+
         for b in batches:
             rows = []
-            for i, prompt, prediction, extracted, metadata, chosen in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for i, prompt, prediction, extracted, metadata in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 prompt, stated = prompt or "", _stated(metadata)
-                rows.append(one(i, None, prompt, prediction, extracted, stated))
-                if chosen and prediction and prompt and rows[-1][10:12] == (endings.COMPLETE, "") and "1" not in rows[-1][4][:3] + rows[-1][5][0] + rows[-1][6][:3] + rows[-1][7][:4]:
-                    answer = body(prediction)
-                    low = prose(answer.lower())
-                    language = send.value(low, _UNITS.findall(low))[0]
-                    foreign = next((t for k, t in seen.items() if k != language), None) if language else None
-                    rows += [one(i, d, prompt, t, None if d == "empty" else t, stated) for d, t in planted(i, prompt, answer, foreign, language).items()]
+                asked = Asked(prompt, languages)
+                v, mine, words = looked_at(asked, prediction, extracted, stated, languages)
+                text = endings.parts(prediction)[0]
+                end = ended(text, v["empty"][1] == "1")
+                h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - 2**63
+                rows.append((i, None, h, last_word(text), v["empty"], v["copied_input"], v["refusal"], v["other_language"], *end, 1))
+                if prediction and prompt and end[2:4] == (endings.COMPLETE, "") and "1" not in v["empty"][:3] + v["copied_input"][0] + v["refusal"][:3] + v["other_language"][:4]:
+                    answer, language = body(prediction), mine[0]
+                    foreign = next((x for k, x in seen.items() if k != language), None) if language else None
+                    plants, cut = planted(i, prompt, answer, asked, foreign, language, stated)
+                    made.update(plants.items())
+                    if cut:
+                        no_stop, unbalanced, code, key, _, *sizes = ended(endings.parts(cut)[0], "</" in cut and endings.is_empty(body(cut)))
+                        made["truncated", None, no_stop, unbalanced, code, key, *sizes] += 1
                     if language and len(answer) >= 40:
-                        seen = {language: answer} | {k: t for k, t in seen.items() if k != language}
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=columns)
+                        seen = {language: (mine, words)} | {k: x for k, x in seen.items() if k != language}
+            yield packed(rows)
+            if len(made) > 50_000:
+                yield counted()
+        yield counted()
 
-    chosen = F.pmod(F.xxhash64("review_id", F.lit(1)), F.lit(every)) == 0
-    return slim.select("review_id", "input", "prediction", "extracted", "metadata", chosen.alias("chosen")).mapInArrow(look, _FIELDS)
+    return slim.mapInArrow(look, _FIELDS)
 
 
 def patterns(reviews: DataFrame) -> DataFrame:
-    """(review_id, plant, defect, pattern): every pair's votes for every defect, and a planted pair's for its own;
-    of truncated the corpus's endings have their say."""
+    """(review_id, plant, n, defect, pattern): every pair's votes for every defect, and the votes on ``n`` planted pairs for
+    their own; of truncated the corpus's endings have their say."""
     seen = durable(inspected(reviews), "pairs")
-    own = ["empty", "copied_input", "refusal", "other_language", "no_stop", "unbalanced"]
-    found = truncation.evidence(seen, ["review_id", "plant"], own, seen.filter("plant is null"))
+    own = ["n", "empty", "copied_input", "refusal", "other_language", "no_stop", "unbalanced"]
+    voted = F.col("plant").isNotNull() & (F.col("plant") != "truncated")  # these have no ending
+    found = truncation.evidence(seen.filter(~voted), ["review_id", "plant"], own, seen.filter("plant is null"))
     # a stop is expected of sentences only; a length that is no limit tells nothing
     whole = F.concat("ending", F.when(F.col("limit") == "1", "1").otherwise("-"), F.when(F.col("ending").isin("c", "o", "b"), F.col("no_stop")).otherwise("-"), "unbalanced")
     said = found.select("review_id", "plant", *own, whole.alias("truncated"))
-    none = seen.filter(F.col("code") == endings.EMPTY).select("review_id", "plant", *own, F.lit("----").alias("truncated"))
+    none = seen.filter(voted | (F.col("code") == endings.EMPTY)).select("review_id", "plant", *own, F.lit("----").alias("truncated"))
     each = F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), F.col(d).alias("pattern")) for d in DEFECTS]))
-    return said.unionByName(none).select("review_id", "plant", each.alias("x")).select("review_id", "plant", "x.*").filter("plant is null or plant = defect")
+    return said.unionByName(none).select("review_id", "plant", "n", each.alias("x")).select("review_id", "plant", "n", "x.*").filter("plant is null or plant = defect")
 
 
 def defects(reviews: DataFrame) -> DataFrame:
@@ -431,7 +520,7 @@ def defects(reviews: DataFrame) -> DataFrame:
     voted = durable(patterns(reviews), "votes")
     counts: dict[str, dict[str, int]] = {d: {} for d in DEFECTS}
     plants: dict[str, dict[str, int]] = {d: {} for d in DEFECTS}
-    for r in voted.groupBy(F.col("plant").isNotNull().alias("made"), "defect", "pattern").agg(F.count("*").alias("n")).collect():  # at most 3^k patterns for a defect's k functions
+    for r in voted.groupBy(F.col("plant").isNotNull().alias("made"), "defect", "pattern").agg(F.sum("n").alias("n")).collect():  # at most 3^k patterns for a defect's k functions
         (plants if r["made"] else counts)[r["defect"]][r["pattern"]] = r["n"]
     rows = []
     for d, c in counts.items():

@@ -173,6 +173,18 @@ def test_validated_cutoff():
     assert labelmodel.validated_cutoff({}, m, {}) == 0.5
 
 
+def test_models_and_cutoffs_come_from_all_pairs(spark, monkeypatch):
+    words, planted, n = {}, {}, 4_500
+    count, validate = pairs.word_counts, labelmodel.validated_cutoff
+    monkeypatch.setattr(pairs, "word_counts", lambda *a: words.update(count(*a)) or words)
+    monkeypatch.setattr(labelmodel, "validated_cutoff", lambda c, m, made: planted.setdefault(len(planted), made) and validate(c, m, made))
+    rows = [(i, EN if i % 2 else ES, "clash", ((a := (GOOD if i % 2 else BIEN) + f" That is true of {i}.", a), '{"lang":"en"}' if i % 2 else '{"lang":"es"}')) for i in range(n)]
+    assert pairs.defects(spark.createDataFrame(rows, REVIEW)).count() == 0
+    assert words["en", "spoon"] == words["es", "cuchara"] == n // 2
+    made = {d: sum(x.values()) for d, x in zip(pairs.DEFECTS, planted.values(), strict=True)}
+    assert [made[d] for d in pairs.DEFECTS[:4]] == [n] * 4 and n - 8 <= made["other_language"] <= n  # a partition's first ones have no answer in another language before them
+
+
 def test_label_model_learns_reliabilities():
     import random
 
